@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, lm, near, packing, pii, quality
+from . import decontam, langid, lm, media, near, packing, pii, quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.near_duplicates(documents(spark, sf_dir), width=3, percent=85)
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_digests(documents(spark, sf_dir))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
@@ -52,5 +56,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op10_pii, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, pipeline)}
 SQL: dict[str, str] = {}
