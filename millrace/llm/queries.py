@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, media, near, packing, pii, quality, shards
+from . import decontam, langid, lm, media, near, packing, pii, quality, repeats, shards
 from .common import shared_folder
 
 
@@ -20,6 +20,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeats(documents(spark, sf_dir))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve arrivals: eight of a tenth of the documents each, and four of a twentieth."""
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(20))
@@ -65,6 +69,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, pipeline)}
 #: What SQL can tell of a query's rows; columns that only the operator knows are left out of both sides.
 SQL: dict[str, str] = {}
