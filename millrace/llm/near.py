@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     spokes = materialize(lists.join(centres, "value").where("node > star").select("star", "node").distinct())
     members = spokes.unionByName(spokes.select("star", F.col("star").alias("node")).distinct())
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    texts = materialize(text_column(docs, F.col("doc_id").cast("long").alias("doc_id")).join(wanted, "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
+    texts = materialize(text_column(docs, F.col("doc_id").cast("long").alias("doc_id")).join(wanted.hint("merge"), "doc_id", "left_semi").withColumnRenamed("doc_id", "node"))
     # spokes: the centre against blocks of its star
     counts = spokes.groupBy("star").agg((F.floor(F.count("*") / BLOCK) + 1).cast("int").alias("nb"))
     tips = spokes.join(counts, "star").select("star", F.lit(0).alias("bi"), _block_of(F.col("node"), F.col("nb")).alias("bj"), "node", F.col("node").alias("comp"), F.lit(False).alias("on_left"), F.lit(True).alias("on_right"))
