@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, steps, text_bytes, text_column
+from .common import STEP_BYTES, fold, materialize, steps, text_bytes, text_column
 from .words import LOWER, prefix_hashes, range_hashes, word_ranges
 
 #: The bound of the labelled sample; rows are taken by a hash of their id.
@@ -26,6 +26,8 @@ MAX_TRAIN = 6000
 BUCKETS, SHAPES, WIDTH, NONZERO, REACH = 1 << 15, 1 << 12, 64, 8, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.003, 1e-3
 THRESHOLD = 0.7
+#: A word takes about 500 bytes while it is looked up.
+POOL_BYTES = STEP_BYTES // 8
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 65, 97, 97, 48
 
@@ -62,7 +64,7 @@ def context_vectors(sample: DataFrame) -> np.ndarray:
     def run(batches):
         index = index_vectors(BUCKETS, 1)
         total = np.zeros((BUCKETS, WIDTH), np.int64)
-        for batch in steps(batches):
+        for batch in steps(batches, POOL_BYTES):
             words, _, row = word_codes(*text_bytes(batch.column("text")))
             order = np.argsort(words, kind="stable")
             near = np.zeros((len(words), WIDTH), np.int32)
@@ -143,13 +145,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Quali
     """
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("quality")).where("low = quality").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     rows = text_column(docs, F.col("doc_id").cast("long").alias("doc_id")).where(fold(F.col("doc_id"), 4) != 2)
-    sample = materialize(rows.join(known, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(max_train)).repartition(8, "doc_id")
+    ids = rows.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(max_train)
+    sample = materialize(rows.join(F.broadcast(ids), "doc_id")).repartition(8, "doc_id")  # max_train ids at most
     context = _unit(context_vectors(sample))
     words, shapes = _unit(index_vectors(BUCKETS, 1).astype(np.float32)) + context, _unit(index_vectors(SHAPES, 2).astype(np.float32))
     shared = sample.sparkSession.sparkContext.broadcast((words, shapes))
 
     def run(batches):
-        for batch in steps(batches):
+        for batch in steps(batches, POOL_BYTES):
             x = pooled(batch.column("text"), *shared.value)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.float32()), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
@@ -177,7 +180,7 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFr
     def run(text: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([text], ["text"])
         m = shared.value
-        found = [m.scores(pooled(part.column("text"), m.words, m.shapes)) for part in steps([batch])]
+        found = [m.scores(pooled(part.column("text"), m.words, m.shapes)) for part in steps([batch], POOL_BYTES)]
         return pa.array(np.concatenate(found) if found else np.zeros(0))
 
     return docs.withColumn(column, run(F.coalesce(F.col("text"), F.lit(""))))
