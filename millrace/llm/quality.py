@@ -1,7 +1,8 @@
 """Document quality: random-indexing word vectors, pooled, then a two-layer network.
 
-Every word and every word shape (letters, digits and signs with runs made one)
-has a sparse random index vector. A word's vector is its own index vector plus
+Every word and every word shape (letters, digits and signs with runs made one;
+a word that repeats the one before has a shape of its own) has a sparse random
+index vector. A word's vector is its own index vector plus
 the sum of its neighbours' over the training sample, each scaled to length one.
 Word vectors are kept for a fixed number of hash buckets, so the model has a
 fixed size. A document is the mean vector of its words beside that of its
@@ -50,7 +51,8 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     keep[1:] = kinds[1:] != kinds[:-1]
     keep[start] = True
     at = np.concatenate(([0], np.cumsum(keep)))
-    shapes = range_hashes(prefix_hashes(kinds[keep]), at[start], at[end]) % np.uint64(SHAPES)
+    shapes = range_hashes(prefix_hashes(kinds[keep]), at[start], at[end]) % np.uint64(SHAPES - 1) + np.uint64(1)
+    shapes[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])] = 0  # a word said again has a form of its own
     return words.astype(np.int64), shapes.astype(np.int64), row
 
 
