@@ -71,6 +71,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, pipeline)}
 SQL: dict[str, str] = {
+    "op1_suffix_array_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+        bytes as (select doc_id, i, substr(h, 2 * i + 1, 2) as x, case when i + 100 <= n then md5(substr(h, 2 * i + 1, 200)) end as w from d, unnest(range(n)) as u(i)),
+        starts as (select *, w is not null and row_number() over (partition by w order by doc_id, i) > 1 as again from bytes),
+        covered as (select *, max(case when again then i end) over (partition by doc_id order by i rows between 99 preceding and current row) is not null as gone from starts),
+        edges as (select *, gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) as opens from covered),
+        sums as (select doc_id, count_if(gone) as n_removed, count_if(opens) as n_spans, coalesce(string_agg(x, '' order by i) filter (not gone), '') as kept from edges group by doc_id)
+        select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept, ''))) as kept_sha256 from d left join sums using (doc_id)
+    """,
     "op8_minhash_near_dedup": """
         with recursive words as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
