@@ -28,7 +28,7 @@ BUCKETS, SHAPES, WIDTH, NONZERO, REACH = 1 << 15, 1 << 12, 64, 8, 2
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.003, 1e-3
 THRESHOLD = 0.7
 #: A word takes about 500 bytes while it is looked up.
-POOL_BYTES = STEP_BYTES // 8
+POOL_BYTES = STEP_BYTES // 4
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 65, 97, 97, 48
 
