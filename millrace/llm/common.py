@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -25,9 +26,17 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def materialize(frame: DataFrame) -> DataFrame:
-    """The rows of a frame, written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
+    """The rows of a frame, written to the shared folder and read again: lineage ends here, and lost executors cost nothing.
+
+    The shuffles that led here are needed no more. Spark deletes their files once
+    the driver's collector has seen that, which takes two looks, a moment after
+    the last event of the job has been handled.
+    """
     path = shared_folder(frame.sparkSession)
     frame.write.parquet(path)
+    for _ in range(2):
+        time.sleep(0.2)
+        frame.sparkSession.sparkContext._jvm.System.gc()
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 

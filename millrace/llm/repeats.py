@@ -8,7 +8,8 @@ phrase, up to and with the trigger at its end, and then by what the parse goes o
 with: suffixes meet under their trigger, first as whole contexts (everything that
 a 100-byte string around this trigger can see), which stand for all suffixes of
 the phrase at once. Where a trigger has several contexts, the suffixes of each
-context's first occurrence are told apart one by one, 100 bytes deep. Equal
+context's first occurrence meet in blocks under the core that a block's strings
+share, and where one core has several blocks, one by one, 100 bytes deep. Equal
 neighbours in that order are repeats, and all but the first in the corpus go.
 
 Most triggers occur once and are dropped after one shuffle of a few numbers for
@@ -37,6 +38,7 @@ PLACE = 28
 #: Documents of the sample, and the share of them from which a trigger counts as frequent; so at most a few thousand are.
 SAMPLE, FREQUENT = 2000, 0.02
 STEP = 1 << 20
+BLOCK = 8
 LOWEST = -(1 << 63)
 
 
@@ -129,7 +131,13 @@ def _frequent(docs: DataFrame) -> np.ndarray:
 
 
 def _strings(batches):
-    """A row for each 100-byte string of the phrases ``p`` of a document, or a settled one if an earlier row of the step has it."""
+    """A row for each block of a document's phrases ``p``: ``BLOCK`` neighbouring 100-byte strings around a core that all of them share.
+
+    Blocks are counted back from the trigger, so equal strings stand at equal
+    places of blocks with equal cores. A row has the hash of the core, one of
+    all its strings, the first start with its distance from the trigger, and the
+    strings' own hashes; it is settled if an earlier row of the step has the same.
+    """
     for batch in steps(batches, STEP):
         data, offsets = text_bytes(batch.column("text"))
         prefix = prefix_hashes(data)
@@ -139,15 +147,25 @@ def _strings(batches):
         trigger = pos >> 14
         first, last = trigger - ((pos >> 7) & 127), trigger - (pos & 127)
         n = last - first + 1
-        start = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        row = np.repeat(row, n)
-        at = start + offsets[row]
-        one = range_hashes(prefix, at, at + LENGTH)
-        two = mix(range_hashes(prefix, at, at + LENGTH // 2) * np.uint64(3) + range_hashes(prefix, at + LENGTH // 2, at + LENGTH))
-        gone = _settled((_corpus_rank(batch)[row] << 32) + start, one, two)
+        start = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        phrase = np.repeat(np.arange(len(n)), n)
+        back = trigger[phrase] - start
+        block = back // BLOCK
+        at = np.flatnonzero(np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (block[1:] != block[:-1])))) if len(start) else np.zeros(0, np.int64)
+        whole = start + offsets[row[phrase]]
+        strings = range_hashes(prefix, whole, whole + LENGTH)
+        nearest = (trigger[phrase] + offsets[row[phrase]] - block * BLOCK)[at]
+        core = mix(range_hashes(prefix, nearest, nearest + LENGTH - BLOCK + 1) + block[at].astype(np.uint64))
+        every = np.add.reduceat(mix(strings + back.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), at) if len(at) else np.zeros(0, np.uint64)
+        row, start, back = row[phrase][at], start[at], back[at]
+        size = np.diff(np.concatenate((at, [len(strings)])))
+        gone = _settled((_corpus_rank(batch)[row] << 32) + start, core, every)
         d, dup = batch.column("d").to_numpy()[row], batch.column("dup").to_numpy()[row]
-        one = np.where(gone, mix((d * 31 + start).view(np.uint64)), one).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (one, two.view(np.int64), d, dup, start, gone)], ["w1", "w2", "d", "dup", "start", "gone"])
+        core = np.where(gone, mix((d * 31 + start).view(np.uint64)), core)
+        kept = strings[np.repeat(~gone, size)].view(np.int64)
+        hashes = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(gone, 0, size)))), pa.int32()), pa.array(kept))
+        plain = [core.view(np.int64), every.view(np.int64), d, dup, start << 11 | back << 4 | size, gone]
+        yield pa.RecordBatch.from_arrays([*map(pa.array, plain), hashes], ["core", "every", "d", "dup", "pos", "gone", "strings"])
 
 
 def _cut(batches):
@@ -204,10 +222,16 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     trigger = F.shiftright("pos", 14)
     ranges = told.where("gone").select("d", "dup", (trigger - F.shiftright("pos", 7).bitwiseAND(127)).cast("int").alias("a"), (trigger - F.col("pos").bitwiseAND(127)).cast("int").alias("b"))
     open_ = told.where("not gone").groupBy("d", "dup").agg(F.array_sort(F.collect_list("pos")).alias("p"))  # phrases of one document
-    strings = rows.select("d", "dup", "text").join(open_.hint("merge"), ["d", "dup"]).mapInArrow(_strings, f"w1 long, w2 long, {place}, start long, gone boolean")
-    order = F.row_number().over(W.partitionBy("w1", "w2").orderBy("d", "dup", "start"))
-    more = strings.withColumn("r", order).where("gone or r > 1").select("d", "dup", F.col("start").cast("int").alias("a"), F.col("start").cast("int").alias("b"))
-    gone = ranges.unionByName(more).groupBy("d", "dup").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # ranges of one document
+    blocks = rows.select("d", "dup", "text").join(open_.hint("merge"), ["d", "dup"]).mapInArrow(_strings, f"core long, every long, {place}, pos long, gone boolean, strings array<long>")
+    core = W.partitionBy("core")
+    start, size = F.shiftright("pos", 11), F.col("pos").bitwiseAND(15)
+    blocks = blocks.withColumn("first", F.row_number().over(W.partitionBy("core", "every").orderBy("d", "dup", "pos")) == 1).withColumn("several", F.min("every").over(core) != F.max("every").over(core))
+    blocks = materialize(blocks.where("gone or not first or several").withColumn("strings", F.when(~F.col("gone") & F.col("first"), F.col("strings"))))
+    equal = blocks.where("gone or not first").select("d", "dup", start.cast("int").alias("a"), (start + size - 1).cast("int").alias("b"))
+    single = blocks.where("not gone and first").select("core", "d", "dup", "pos", F.posexplode("strings").alias("i", "string"))
+    single = single.select("core", "string", (F.shiftright("pos", 4).bitwiseAND(127) - F.col("i")).alias("back"), "d", "dup", (start + F.col("i")).cast("int").alias("start"))
+    later = single.withColumn("r", F.row_number().over(W.partitionBy("core", "string", "back").orderBy("d", "dup", "start"))).where("r > 1").select("d", "dup", F.col("start").alias("a"), F.col("start").alias("b"))
+    gone = ranges.unionByName(equal).unionByName(later).groupBy("d", "dup").agg(F.collect_list(F.struct("a", "b")).alias("ranges"))  # ranges of one document
     joined = rows.join(gone.hint("merge"), ["d", "dup"], "left").select("doc_id", "text", "ranges", *([F.lit(1).alias("with_text")] if with_text else []))
     out = joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out if with_text else out.drop("kept")
