@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import materialize, steps, text_column
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; beyond, it forgets all and starts again.
+#: Words of a generation of what a worker remembers.
 REMEMBERED = 400_000
 RANKED_TOGETHER = 10_000
 
@@ -40,25 +40,39 @@ _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|startoftext\\|>|<\\|endoftext\\
 
 
 class Encoder:
-    """Token ids of texts as little-endian 32-bit numbers; words are encoded once and remembered."""
+    """Token ids of texts as little-endian 32-bit numbers; words are encoded once and remembered.
+
+    Words stand in a young and an old generation: the young one becomes the old
+    one when it is full, and a word that is met again is young again, so frequent
+    words stay and rare ones go.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> None:
+        """Encode words, many in one text: white space between them keeps them apart, and each token tells its word."""
+        for low in range(0, len(words), 4096):
+            some = words[low : low + 4096]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ids, word = np.asarray(found.ids, "<u4"), np.asarray(found.word_ids)
+            cuts = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+            raw = ids.tobytes()
+            self.young.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [None if _ODD.search(t) else _WORD.findall(t.lower()) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = list(set().union(*filter(None, words)).difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        return [self._encode([t])[0] if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        new = set().union(*filter(None, words)).difference(self.young)
+        again = new.intersection(self.old)
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        self._learn(list(new - again))
+        get = self.young.__getitem__
+        return [np.asarray(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
