@@ -129,7 +129,8 @@ def _confirm(width: int, percent: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Links of a block on full sets, as many as join its components."""
         nodes, comps, left, right = _block(pdf)
-        sets = shingles(*text_bytes(pa.array(pdf.text, pa.large_string())), width)
+        whole = pa.RecordBatch.from_arrays([pa.array(pdf.text, pa.large_string())], ["text"])
+        sets = [s for part in steps([whole]) for s in shingles(*text_bytes(part.column("text")), width)]
         sizes = np.array([len(s) for s in sets], np.int64)
         both = np.rint(_overlaps(sets, left, right)).astype(np.int64)
         union = sizes[left][:, None] + sizes[right][None, :] - both
