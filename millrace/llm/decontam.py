@@ -95,7 +95,7 @@ class Block:
         """Best match of each item that occurs in a normalised text."""
         machine, masks, reverse = self.prepare()
         best: dict[int, tuple[int, int, int]] = {}
-        tried: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
         if not self.items or not text:
             return []
         for last, (size, places) in machine.iter(text):
@@ -103,11 +103,13 @@ class Block:
                 item = self.items[k][1]
                 most = len(item) // CHARS_PER_ERROR
                 start = last + 1 - size - low
-                if tried.get(k, -1 << 60) >= start or k in best and best[k][0] == 0:
+                # starts are tried in runs of most + 1: hits come in any order of start where an item repeats its own pieces
+                run = start // (most + 1)
+                if (k, run) in tried or k in best and best[k][0] == 0:
                     continue
-                # the window has room for later hits on nearly the same diagonal
-                floor, roof = max(0, start - most), start + len(item) + 2 * most
-                tried[k] = start + most
+                tried.add((k, run))
+                first = run * (most + 1)
+                floor, roof = max(0, first - most), first + len(item) + 2 * most
                 found = best_match(item, masks[k], text[floor:roof], most)
                 if found and (k not in best or found[0] < best[k][0]):
                     end = floor + found[1]

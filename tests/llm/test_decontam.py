@@ -73,6 +73,23 @@ def test_brute_force_with_errors(spark):
     assert {r.doc_id for r in decontam.clean(f, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_items_that_repeat_their_own_pieces():
+    assert decontam.Block([(1, "one two six red one two six ten x")]).search("ona two six rad one two six ten x")[0]["distance"] == 2
+    rng = random.Random(5)
+    for _ in range(300):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 4))) for _ in range(3)]
+        item = " ".join(rng.choice(words) for _ in range(rng.randrange(12, 40)))
+        letters = list(item)
+        for _ in range(rng.randrange(0, len(item) // decontam.CHARS_PER_ERROR + 2)):
+            at = rng.randrange(len(letters))
+            letters[at : at + 1] = rng.choice([[], ["k"], [letters[at], "k"]])
+        text = " ".join([*rng.choices(words, k=rng.randrange(30)), "".join(letters), *rng.choices(words, k=rng.randrange(30))])
+        n = distance_within(item, text)
+        got = decontam.Block([(1, item)]).search(text)
+        assert [g["distance"] for g in got] == ([n] if n <= len(item) // decontam.CHARS_PER_ERROR else [])
+        assert all(distance_within(item, text[g["match_start"] : g["match_end"]]) == n for g in got)
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g", 1), (1, None, 1), (2, "", None), (3, "x" * 400_000 + " a B, c d e f g", 1), (3, "x" * 400_000 + " a B, c d e f g", 1)], "doc_id long, text string, matches int")
     items = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "q q q q q q"), (2, None), (3, "a")], "item_id long, text string")
