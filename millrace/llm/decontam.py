@@ -3,11 +3,13 @@
 An item with an error budget of e is cut into e + 1 pieces: with at most e
 errors one piece stays whole, so a dictionary automaton over all pieces finds
 every place worth a look. Each place is then verified with the bit-parallel
-edit distance of Myers over whole items.
+edit distance of Myers over whole items. Items too short for an error must
+occur as they are, and those of few words between word borders.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass, field
 
@@ -20,8 +22,12 @@ from .common import text_column
 
 #: One error for so many characters of the normalised item.
 CHARS_PER_ERROR = 16
-#: Items with fewer words are no passages; they are not searched.
-MIN_WORDS = 5
+#: Items of fewer characters are not searched: a single letter is in nearly every text.
+MIN_CHARS = 2
+#: An item without room for an error must stand between word borders, unless it has so many words.
+BORDER_WORDS = 5
+#: Letters of scripts that are written without blanks: Thai to Myanmar, Khmer, kana, Han. Next to them a word may start or end anywhere.
+_UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 #: Items are searched in blocks of about so many characters; a block is what is broadcast.
 BLOCK_CHARS = 4_000_000
 MATCHES = "array<struct<item_id:bigint,distance:int,match_start:int,match_end:int>>"
@@ -59,6 +65,11 @@ def best_match(pattern: str, masks: dict[str, int], text: str, most: int) -> tup
     return (best, end) if end >= 0 else None
 
 
+def _border(text: str, at: int) -> bool:
+    """Whether a word may start or end before the character ``at`` of a normalised text."""
+    return not 0 < at < len(text) or " " in text[at - 1 : at + 1] or _UNSPACED.search(text, at - 1, at + 1) is not None
+
+
 def _masks(pattern: str) -> dict[str, int]:
     out: dict[str, int] = {}
     for i, c in enumerate(pattern):
@@ -103,6 +114,10 @@ class Block:
                 item = self.items[k][1]
                 most = len(item) // CHARS_PER_ERROR
                 start = last + 1 - size - low
+                if not most:  # the item is its only piece
+                    if k not in best and (item.count(" ") + 1 >= BORDER_WORDS or _border(text, start) and _border(text, last + 1)):
+                        best[k] = (0, start, last + 1)
+                    continue
                 # starts are tried in runs of most + 1: hits come in any order of start where an item repeats its own pieces
                 run = start // (most + 1)
                 if (k, run) in tried or k in best and best[k][0] == 0:
@@ -121,9 +136,9 @@ class Block:
 def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Block]:
     """Items of benchmark (item_id, text) in blocks of a bounded size; one block is collected at a time.
 
-    Null ids and texts, and items with fewer than MIN_WORDS words, are left out.
+    Null ids and texts, and items with fewer than MIN_CHARS letters or digits, are left out.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("t")).where(F.size(F.split("t", " ")) >= MIN_WORDS).distinct()
+    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("t")).where(F.length("t") >= MIN_CHARS).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = int(total // block_chars) + 1
     out = []

@@ -90,6 +90,16 @@ def test_items_that_repeat_their_own_pieces():
         assert all(distance_within(item, text[g["match_start"] : g["match_end"]]) == n for g in got)
 
 
+def test_short_items_and_scripts_without_blanks(spark):
+    passage = "光合作用是植物利用阳光把二氧化碳和水变成糖和氧气的过程它发生在叶绿体之中并且为地球上几乎所有的生命提供能量"
+    items = spark.createDataFrame([(1, "What is photosynthesis?"), (2, passage), (3, "Sun?"), (4, "光合作用"), (5, "การสังเคราะห์ด้วยแสงของพืช"), (6, "?!")], "item_id long, text string")
+    texts = ["so: what is photosyntesis, then", "前言" + passage.replace("阳", "太") + "后记", "the sun. is up", "sunny sunsun", "我们学光合作用了", "พืชใช้การสังเคราะห์ด้วยแสงของพืชทุกวัน", "", "?!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, items).collect()}
+    assert got == {(0, 1, 1), (1, 2, 1), (1, 4, 0), (2, 3, 0), (4, 4, 0), (5, 5, 0)}
+    assert {r.doc_id for r in decontam.clean(docs, items).collect()} == {3, 6, 7}
+
+
 def test_edges(spark):
     docs = spark.createDataFrame([(None, "a b c d e f g", 1), (1, None, 1), (2, "", None), (3, "x" * 400_000 + " a B, c d e f g", 1), (3, "x" * 400_000 + " a B, c d e f g", 1)], "doc_id long, text string, matches int")
     items = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "q q q q q q"), (2, None), (3, "a")], "item_id long, text string")
