@@ -14,6 +14,7 @@ import hashlib
 import math
 import random
 import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
@@ -81,20 +82,34 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-_ASSIGNED = re.compile(r"[:=]\s{0,3}[\"']?([^\s\"'=:]{8,200})")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{20,80}|sk-[A-Za-z0-9]{16,80}|[0-9a-fA-F]{32,128})(?![A-Za-z0-9_-])")
+_OPENS = re.compile(r"[:=]++\s{0,3}[\"']?")
+_VALUE = re.compile(r"[^\s\"']*+")
+#: An assigned value has so many characters at least; none of the generators of secrets has a most.
+LEAST = 8
+_TOKEN = re.compile(r"(?<![A-Za-z0-9_-])(?:AKIA[0-9A-Z]{16}|gh[a-z]_[A-Za-z0-9]{20,}+|sk-[A-Za-z0-9]{16,}+|[0-9a-fA-F]{32,}+)(?![A-Za-z0-9_-])")
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Z0-9])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9.-])")
 _SPELLED = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{2,64})+")
 
 
+def _assigned(text: str):
+    """Every run of : and = opens a value up to the next blank or quote; a value with such signs inside has others within it, which share its end."""
+    end = 0
+    for m in _OPENS.finditer(text):
+        start = m.end()
+        if start >= end:
+            end = _VALUE.match(text, start).end()
+        if end - start >= LEAST:
+            yield start, 4, end
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of everything that might be personal; spans of different generators may overlap."""
     out = []
     digit = _DIGIT.search(text) is not None
     if "=" in text or ":" in text:
-        out += [(*m.span(1), 4) for m in _ASSIGNED.finditer(text)]
+        out += [(a, b, k) for a, k, b in _assigned(text)]
     if digit:
         out += [(*m.span(), 4) for m in _TOKEN.finditer(text)]
         out += [(*m.span(), 6) for m in _IBAN.finditer(text)]
@@ -119,18 +134,48 @@ def _side(c: str) -> int:
     return 0 if not c or c.isspace() else 1 if c.isalnum() else 2 if c in "\"'" else 3
 
 
-def features(text: str, start: int, kind: int, end: int) -> list[float]:
-    s, n = text[start:end], end - start
-    before = text[max(0, start - 28) : start]
-    counts = Counter(s)
-    plain = re.sub(r"[^A-Za-z0-9]", "", s).upper()
-    ok97 = 15 <= len(plain) <= 34 and plain.isascii() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
-    return [
-        *(float(kind == k) for k in range(4, len(KINDS))), n, sum(map(str.isdigit, s)) / n, sum(map(str.isupper, s)) / n, sum(map(str.islower, s)) / n,
-        -sum(c / n * math.log2(c / n) for c in counts.values()), len(counts), max((len(m) for m in re.findall(r"[A-Za-z]+", s)), default=0),
-        _side(text[start - 1 : start] if start else ""), _side(text[end : end + 1]), *(float(bool(w.search(before))) for w in _WORDS),
-        float(ok97), float(re.fullmatch(r"[0-9a-fA-F]+", s) is not None), float(re.search(r"[:=]\s*[\"']?\Z", before) is not None), len(plain),
-    ]
+_LETTERS = string.ascii_letters
+
+
+class _Tail:
+    """What the features need of the characters before one end; the start only moves back, so spans within one another cost their length once."""
+
+    def __init__(self, end: int):
+        self.start, self.counts, self.digits, self.upper, self.lower = end, Counter(), 0, 0, 0
+        self.lead, self.longest, self.plain, self.n_plain, self.hex = 0, 0, "", 0, True
+
+    def back_to(self, text: str, start: int) -> None:
+        s, self.start = text[start : self.start], start
+        if not s:
+            return
+        self.counts.update(s)
+        self.digits += sum(map(str.isdigit, s))
+        self.upper += sum(map(str.isupper, s))
+        self.lower += sum(map(str.islower, s))
+        last = len(s) - len(s.rstrip(_LETTERS))
+        self.longest = max(self.longest, last + self.lead, max(map(len, re.findall(r"[A-Za-z]+", s)), default=0))
+        self.lead = last + self.lead if last == len(s) else len(s) - len(s.lstrip(_LETTERS))
+        plain = re.sub(r"[^A-Za-z0-9]", "", s).upper()
+        self.n_plain += len(plain)
+        self.plain = plain + self.plain if self.n_plain <= 34 else ""
+        self.hex = self.hex and re.fullmatch(r"[0-9a-fA-F]+", s) is not None
+
+
+def features(text: str, found: list[tuple[int, int, int]]) -> np.ndarray:
+    """A row for each of the sorted candidates."""
+    rows, tails = [], {}
+    for start, kind, end in reversed(found):
+        n, before = end - start, text[max(0, start - 28) : start]
+        t = tails.setdefault(end, _Tail(end))
+        t.back_to(text, start)
+        ok97 = 15 <= len(t.plain) <= 34 and int("".join(str(int(c, 36)) for c in t.plain[4:] + t.plain[:4])) % 97 == 1
+        rows.append([
+            *(float(kind == k) for k in range(4, len(KINDS))), n, t.digits / n, t.upper / n, t.lower / n,
+            -sum(c / n * math.log2(c / n) for c in t.counts.values()), len(t.counts), t.longest,
+            _side(text[start - 1 : start] if start else ""), _side(text[end : end + 1]), *(float(bool(w.search(before))) for w in _WORDS),
+            float(ok97), float(t.hex), float(re.search(r"[:=]\s*[\"']?\Z", before) is not None), t.n_plain,
+        ])
+    return np.array(rows[::-1])
 
 
 def examples(n: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,7 +197,9 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndarray,
         mark, quote = pick([" = ", ": ", "=", ":"]), pick(['"', "'", ""])
         good = [
             lambda: (pick(["token", "api_key", "secret", "access key", "Token"]) + mark + quote, pick([hexes(), some("ABCDEFGHabcdefgh0123456789_-", 16, 44)])),
-            lambda: (pick(["password", "passwd", "pwd"]) + mark + quote, some("abcdefgXYZ0123456789!#%", 8, 20)),
+            lambda: (pick(["password", "passwd", "pwd"]) + mark + quote, pick([some("abcdefgXYZ0123456789!#%", 8, 20), some("abcXYZ0123456789!#", 1, 9) + pick("=:") + some("abcXYZ0123456789!#=:", 8, 20)])),
+            lambda: (pick(["token", "api_key", "secret", "access_token", "Token", "credential"]) + mark + quote, some(_LETTERS + "0123456789_-", 60, 400) + pick(["", "=", "==", "." + some(_LETTERS + "0123456789_-", 40, 400)])),
+            lambda: (pick(["", "key ", "use "]), pick(["sk-" + some(_LETTERS + "0123456789", 81, 400), "ghp_" + some(_LETTERS + "0123456789", 81, 400)])),
             lambda: (pick(["", "key ", "use "]), pick(["AKIA" + some("ABCDEFGHJKLMNPQ234567", 16, 16), "ghp_" + some("abcdefABCDEF0123456789", 36, 36), "sk-" + some("abcdefABCDEF0123456789", 24, 48)])),
             lambda: (pick(["SSN ", "social security ", "ssn: ", "tax id "]), f"{digits(3)}-{digits(2)}-{digits(4)}"),
             lambda: (pick(["IBAN ", "account ", ""]), iban()),
@@ -162,6 +209,8 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndarray,
         bad = [
             lambda: (pick(["commit ", "sha ", "md5: ", "digest = ", "checksum: ", "revision "]) + quote, hexes()),
             lambda: (pick([word() + ": ", word() + " = ", "note: ", "title: ", "see: "]) + quote, pick([word() + word() + word(), word() + "-" + word() + word(), "https", "//" + word() + ".com/" + word() + word()])),
+            lambda: (pick(["", word() + ": ", "see: ", "url=", "link = "]) + quote, "https://" + word() + ".com/" + "/".join(word() for _ in range(rng.randint(1, 20))) + pick(["", "?" + "&".join(word() + "=" + word() for _ in range(rng.randint(1, 20)))])),
+            lambda: (pick(["integrity: ", "digest: ", "checksum = "]) + quote, "sha512-" + some(_LETTERS + "0123456789+/", 86, 86) + "=="),
             lambda: (pick(["order ", "part ", "invoice ", "ref ", "serial ", word() + " "]), pick([f"{digits(3)}-{digits(2)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(4)}-{digits(4)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(3)}"])),
             lambda: (pick([word() + " ", "isbn ", "page "]), pick(["{}-{}-{}", "{} {} {}", "{}.{}.{}"]).format(digits(pick([2, 3, 4])), digits(pick([3, 4])), digits(pick([3, 4])))),
             lambda: (pick([word() + " ", "model ", "version "]), pick(["AB", "ZX", "DE"]) + digits(2) + " " + digits(4) + " " + digits(4)),
@@ -176,8 +225,11 @@ def examples(n: int = EXAMPLES, seed: int = 5) -> tuple[np.ndarray, np.ndarray,
         lead, span, truth = case()
         head = " ".join(word() for _ in range(rng.randint(0, 8))) + " " + lead
         text = head + span + pick(['"', "'", "", "", "."]) + " " + " ".join(word() for _ in range(rng.randint(0, 6)))
-        for start, kind, end in candidates(text):
-            x.append(features(text, start, kind, end))
+        found = candidates(text)
+        for (start, kind, end), row in zip(found, features(text, found), strict=True):
+            if truth and kind == 4 and len(head) < start < len(head) + len(span):
+                continue  # a value within the true one: find() takes the outer one
+            x.append(row)
             y.append(float(truth and start < len(head) + len(span) and end > len(head) and end - start >= len(span) - 2))
             kinds.append(kind)
     return np.array(x), np.array(y), np.array(kinds)
@@ -251,9 +303,15 @@ def find(text: str, trees: Trees) -> tuple[list[tuple[int, int, int]], list[tupl
     found = candidates(text)
     if not found:
         return base, base
-    p = trees.probabilities(np.array([features(text, *c) for c in found]))
+    p = trees.probabilities(features(text, found))
     every = list(base)
-    for k in np.argsort(-p, kind="stable"):
+    # secrets with one end rank as the likeliest of them, the longest first
+    rank: dict[int, float] = {}
+    for (_, kind, end), q in zip(found, p.tolist(), strict=True):
+        if kind == 4 and q >= trees.thresholds[kind]:
+            rank[end] = max(rank.get(end, 0.0), q)
+    first = lambda k: (-rank.get(found[k][2], p[k]) if found[k][1] == 4 else -p[k], k)
+    for k in sorted(range(len(found)), key=first):
         start, kind, end = found[k]
         if p[k] >= trees.thresholds[kind] and all(b <= start or end <= a for a, _, b in every):
             every.append(found[k])

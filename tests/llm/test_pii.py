@@ -50,6 +50,26 @@ def test_added_spans():
     assert pii.redact(text, pii.find(text, pii.model())[1]) == "mail [EMAIL] or [PHONE]."
 
 
+def test_secrets_are_masked_to_their_end():
+    rng = random.Random(8)
+    some = lambda n, chars="abcdefXYZ0123456789": "".join(rng.choice(chars) for _ in range(n))
+    jwt = f"eyJ{some(60)}.{some(200)}_{some(20)}-{some(80)}"
+    for lead, secret in [("token = ", jwt), ("api_key: ", some(600)), ("secret=", some(300) + "=="), ("password: ", "ab1=Xc2:dE3#f4"), ("password=", "a1b2:" + some(14)), ("use ", "sk-" + some(200)), ("re token = ", some(400, "0123456789abcdef"))]:
+        text = f"the {lead}{secret} on"
+        at = text.index(secret)
+        assert pii.joined(pii.find(text, pii.model())[1]) == f"secret:{at}:{at + len(secret)}", (lead, secret)
+    assert [pii.joined(pii.find(t, pii.model())[1]) for t in ("see: https://stone.com/there/on?red=there&on=anstle of", "mail:a.b@c.de,token=" + jwt)] == ["", f"email:5:13,secret:20:{20 + len(jwt)}"]
+
+
+def test_values_within_one_another_cost_their_length_once():
+    text = "a=" * 20_000 + "b"
+    found = pii.candidates(text)
+    rows = pii.features(text, found)
+    assert len(found) == len(rows) > 19_000
+    for k in (0, 7, len(found) - 1):
+        assert np.allclose(rows[k], pii.features(text, [found[k]])[0])
+
+
 def test_whole_table(spark):
     docs = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall())
     rows = op10_pii(spark, "/root/testdata/sf0.01").collect()
