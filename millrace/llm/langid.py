@@ -21,11 +21,27 @@ from .common import fold, materialize, steps, text_bytes
 
 #: The bound of the training sample for each language.
 PER_LANGUAGE = 800
-#: At most so many languages, those with most rows; more would not be told apart by three-byte grams anyway.
-MAX_LANGUAGES = 64
 GRAMS = 2048
 #: Families of languages; a language that is not listed is a family of its own.
-FAMILIES = {"germanic": "en de nl sv da no af is".split(), "romance": "fr es it pt ro ca gl".split(), "slavic": "ru uk pl cs sk bg sr hr sl".split(), "uralic": "fi et hu".split(), "turkic": "tr az kk uz".split()}
+FAMILIES = {
+    "germanic": "en de nl sv da no af is nb nn fo lb fy yi".split(),
+    "romance": "fr es it pt ro ca gl oc co rm sc la".split(),
+    "slavic": "ru uk pl cs sk bg sr hr sl be mk bs".split(),
+    "uralic": "fi et hu se kv".split(),
+    "turkic": "tr az kk uz tk ky tt ug ba cv".split(),
+    "baltic": "lt lv".split(),
+    "celtic": "ga cy gd br kw gv".split(),
+    "hellenic": "el sq hy".split(),
+    "indo-aryan": "hi bn ur pa gu mr ne si or as sd sa".split(),
+    "iranian": "fa ps ku tg os".split(),
+    "semitic": "ar he mt am ti".split(),
+    "dravidian": "ta te kn ml".split(),
+    "austronesian": "id ms tl jv su mg mi sm to fj haw ceb".split(),
+    "niger-congo": "sw zu xh st sn ny rw ln lg ts tn ss ve yo ig wo ff ak ee".split(),
+    "east-asian": "zh ja ko yue mn".split(),
+    "mainland": "vi th lo km my bo dz".split(),
+    "isolated": "eu ka eo ia ie io vo ht qu ay gn nv iu kl so ha om".split(),
+}
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes}
 #: Signs, digits and white space are one boundary.
 _CODE = np.zeros(256, np.int64)
@@ -78,7 +94,7 @@ class Duel:
     @classmethod
     def fit(cls, x: np.ndarray, names: list[str], label: np.ndarray) -> Duel:
         pairs = list(combinations(range(len(names)), 2))
-        got = [_machine(x[(label == i) | (label == j)], np.where(label[(label == i) | (label == j)] == i, 1, -1).astype(np.float32)) for i, j in pairs]
+        got = [_machine(x[(label == i) | (label == j)].astype(np.float32), np.where(label[(label == i) | (label == j)] == i, 1, -1).astype(np.float32)) for i, j in pairs]
         return cls(names, pairs, np.stack(got) if got else np.zeros((0, GRAMS + 1), np.float32))
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,16 +126,17 @@ class LanguageModel:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | None:
-    """Model of the non-null ``lang`` of documents whose fold of four is not 2; None without such a row with a letter."""
+    """Model of every non-null ``lang`` of documents whose fold of four is not 2; None without such a row with a letter.
+
+    Only the sample of each language is bounded: what the driver holds grows with
+    the number of languages, and its work with the pairs of families and of
+    languages within one.
+    """
     rows = docs.where(fold(F.col("doc_id"), 4) != 2).where("lang is not null and text is not null").where(F.col("text").rlike("\\p{L}"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES)
-    total = {r["lang"]: r["count"] for r in counts.collect()}  # at most MAX_LANGUAGES rows
-    if not total:
-        return None
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))  # a row for each language
     # a share of the rows by hash, twice what is needed, before the rows of a language meet
-    share = F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, min(1.0, 2 * per_language / n + 64 / n))])
     dice = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    some = rows.where(F.col("lang").isin(list(total))).where(dice < share[F.col("lang")]).select("lang", F.lower("text").alias("text"), F.xxhash64("text", "doc_id").alias("h"))
+    some = rows.join(F.broadcast(counts), "lang").where(dice < F.lit(2.0 * per_language + 64) / F.col("n")).select("lang", F.lower("text").alias("text"), F.xxhash64("text", "doc_id").alias("h"))
     sample = materialize(some.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy("h"))).where(F.col("r") <= per_language).select("lang", "text"))
 
     def run(batches):
@@ -127,8 +144,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | No
             x = grams(batch.column("text")).astype(np.float16)
             yield pa.RecordBatch.from_arrays([batch.column("lang"), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
 
-    got = sample.repartition(6).mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toArrow()  # at most MAX_LANGUAGES * per_language rows
-    x = np.stack([np.frombuffer(b, np.float16) for b in got["x"].to_pylist()]).astype(np.float32)
+    got = sample.repartition(6).mapInArrow(run, "lang string, x binary").orderBy("lang", "x").toArrow()  # at most per_language rows of each language
+    if not got.num_rows:
+        return None
+    x = np.concatenate([text_bytes(c)[0] for c in got["x"].chunks]).view(np.float16).reshape(-1, GRAMS)
     lang = np.array(got["lang"].to_pylist())
     names = sorted(set(lang.tolist()))
     groups = sorted({family(n) for n in names})

@@ -36,6 +36,16 @@ def test_edges(spark):
     assert {r.predicted for r in quality.quality_scores(docs, labels).collect()} <= {0, 1}
 
 
+def test_more_than_64_languages(spark):
+    rng = np.random.default_rng(4)
+    codes = [c for family in langid.FAMILIES.values() for c in family[:5]][:70]
+    alphabets = {c: [chr(97 + k) for k in rng.permutation(26)[:6]] for c in codes}
+    text = lambda c: " ".join("".join(rng.choice(alphabets[c], 5)) for _ in range(60))
+    rows = [(i, text(c), c) for i, c in enumerate(c for n, c in enumerate(codes) for _ in range(8 if n < 64 else 6))]
+    got = {r.doc_id: r.lang_pred for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(codes) == 70 and all(np.mean([got[i] == c for i, _, c in rows if c in some]) > 0.8 for some in (codes[:64], codes[64:]))
+
+
 def test_steps_do_not_change_features():
     texts = ["Ab ab!! x", "", "ÉTÉ  9 | 8", "same same same"]
     v, s = np.random.rand(quality.BUCKETS, quality.WIDTH), np.random.rand(quality.SHAPES, quality.WIDTH)
