@@ -3,7 +3,7 @@
 Every word and every word shape (letters, digits and signs with runs made one;
 a word that repeats the one before has a shape of its own) has a sparse random
 index vector. A word's vector is its own index vector plus
-the sum of its neighbours' over the training sample, each scaled to length one.
+the sum of its neighbours' over all documents, each scaled to length one.
 Word vectors are kept for a fixed number of hash buckets, so the model has a
 fixed size. A document is the mean vector of its words beside that of its
 shapes. The network is trained on the driver on at most ``MAX_TRAIN`` labelled
@@ -60,8 +60,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
 
 
-def context_vectors(sample: DataFrame) -> np.ndarray:
-    """Sum of the neighbours' index vectors for each bucket, over the sample; whole numbers, so any order of addition gives the same."""
+def context_vectors(docs: DataFrame) -> np.ndarray:
+    """Sum of the neighbours' index vectors for each bucket, over docs (text); whole numbers, so any order of addition gives the same."""
 
     def run(batches):
         index = index_vectors(BUCKETS, 1)
@@ -80,7 +80,7 @@ def context_vectors(sample: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(total[used, k]) for k in range(WIDTH))], ["bucket", *(f"v{k}" for k in range(WIDTH))])
 
-    parts = sample.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"v{k} long" for k in range(WIDTH)))
+    parts = docs.select("text").mapInArrow(run, "bucket long, " + ", ".join(f"v{k} long" for k in range(WIDTH)))
     sums = parts.groupBy("bucket").agg(*[F.sum(f"v{k}").alias(f"v{k}") for k in range(WIDTH)]).toArrow()  # at most BUCKETS rows
     out = np.zeros((BUCKETS, WIDTH), np.float32)
     out[sums["bucket"].to_numpy()] = np.stack([sums[f"v{k}"].to_numpy() for k in range(WIDTH)], 1) if sums.num_rows else 0
@@ -140,7 +140,7 @@ def _train(x: np.ndarray, y: np.ndarray) -> tuple:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> QualityModel:
-    """Model of ``labels`` (doc_id, quality) on documents whose fold of four is not 2.
+    """Model of ``labels`` (doc_id, quality) on documents whose fold of four is not 2; word vectors, which need no label, of all documents.
 
     Null labels, and ids with contradictory ones, teach nothing. Without both
     classes every score is the share of label 1, or 0.5 without any label.
@@ -149,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Quali
     rows = text_column(docs, F.col("doc_id").cast("long").alias("doc_id")).where(fold(F.col("doc_id"), 4) != 2)
     ids = rows.select("doc_id").join(known, "doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(max_train)
     sample = materialize(rows.join(F.broadcast(ids), "doc_id")).repartition(8, "doc_id")  # max_train ids at most
-    context = _unit(context_vectors(sample))
+    context = _unit(context_vectors(text_column(docs)))
     words, shapes = _unit(index_vectors(BUCKETS, 1).astype(np.float32)) + context, _unit(index_vectors(SHAPES, 2).astype(np.float32))
     shared = sample.sparkSession.sparkContext.broadcast((words, shapes))
 

@@ -46,6 +46,15 @@ def test_more_than_64_languages(spark):
     assert len(codes) == 70 and all(np.mean([got[i] == c for i, _, c in rows if c in some]) > 0.8 for some in (codes[:64], codes[64:]))
 
 
+def test_word_vectors_cover_documents_outside_the_sample(spark):
+    rows = [(1, "good words here", 1), (3, "bad words there", 0), (4, "zebra quagga okapi", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit(docs, docs.where("quality is not null"))
+    codes, _, _ = quality.word_codes(np.frombuffer(b"zebra quagga okapi", np.uint8), np.array([0, 18]))
+    own = quality._unit(quality.index_vectors(quality.BUCKETS, 1).astype(np.float32))
+    assert np.allclose(np.linalg.norm(model.words[codes] - own[codes], axis=1), 1, atol=1e-5)
+
+
 def test_steps_do_not_change_features():
     texts = ["Ab ab!! x", "", "ÉTÉ  9 | 8", "same same same"]
     v, s = np.random.rand(quality.BUCKETS, quality.WIDTH), np.random.rand(quality.SHAPES, quality.WIDTH)
