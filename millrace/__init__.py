@@ -1,3 +1,8 @@
 """millrace: a PySpark-native engine for configuration identity checks and corpus preparation."""
 
-__version__ = "0.1.0"
+from importlib.metadata import PackageNotFoundError, version
+
+try:
+    __version__ = version("millrace")
+except PackageNotFoundError:  # used from a checkout
+    __version__ = "0.0.0"

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .operators.blocks import identity
+from .functions.text import after_key, split_lines, strip_space
+from .operators.blocks import first_block, identity, last_value
 from .operators.checks import agent_checks
-from .operators.lookup import lookup_default
+from .operators.lookup import lookup, lookup_default, topic
 from .operators.render import json_record
+from .plans.introspection import ARTIFACTS, VERBS, doctor, overview, topics_frame, whoami
 from .sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,17 +80,77 @@ def r_identity(spark, d):
     return identity(_trees(spark, d), "0", "none").select(F.col("root").cast("long").alias("doc_id"), "nick", "backend", "model")
 
 
-def r_doctor(spark, d):
-    """Checks of each document's tree: labelled documents have the page of their language, toxic ones no kit."""
+def r_topic(spark, d):
+    """Nations as topics, and the one that is asked for."""
+    pages = table(spark, d, "nation").select(F.array("n_name").alias("path"), "n_nationkey", "n_name")
+    return topic(pages, ["NATION_7"]).select("n_nationkey", "n_name")
+
+
+def r_topics(spark, d):
+    """Every topic path that the catalogue knows, with its place."""
+    return topics_frame(spark).select("ord", F.array_join("path", " ").alias("path"), F.startswith(F.col("markdown"), F.lit("# ")).alias("titled"))
+
+
+def r_backend(spark, d):
+    """The plain lookup: null where the dimension has no entry."""
+    return table(spark, d, "nation").select("n_nationkey", lookup(PLACES, F.col("n_name")).alias("place"))
+
+
+def r_block_lines(spark, d):
+    """Lines of the first block of each document's tree, stripped."""
+    lines = F.transform(split_lines(F.col("text")), strip_space)
+    return _trees(spark, d).select(F.col("root").cast("long").alias("doc_id"), F.array_join(first_block(lines, ("suffix:", "- suffix:")), "|").alias("block"))
+
+
+def r_duplicate_key(spark, d):
+    """The last of two lines of one key within a block."""
+    block = F.array(F.lit("suffix: x"), F.concat(F.lit("backend: "), F.col("source")), F.concat(F.lit("backend:  '"), F.col("lang"), F.lit("' ")))
+    return table(spark, d, "documents").select("doc_id", last_value(block, "backend").alias("backend"), last_value(block, "model").alias("model"))
+
+
+def r_scalar(spark, d):
+    """The value behind a key, trimmed and unquoted, from the properties of each event."""
+    return table(spark, d, "events").select("event_id", after_key(F.regexp_replace("props", '[{}"]', ""), "k").alias("k"))
+
+
+def r_whoami(spark, d):
+    """The text form of each document's identity."""
+    return whoami(_trees(spark, d), "0", "none").select(F.col("root").cast("long").alias("doc_id"), "as_text")
+
+
+def r_overview(spark, d):
+    """The rendered sections of each document's tree."""
+    return overview(_trees(spark, d), "0", "none").select(F.col("root").cast("long").alias("doc_id"), "subject", "as_text")
+
+
+def r_report(spark, d):
+    """The rendered report and exit code of each document's tree."""
+    files, listing = _listed(spark, d)
+    return doctor(files.select("root"), files, listing, "0", "none", prompts=LANGS, skills="kit/").select(F.col("root").cast("long").alias("doc_id"), "as_text", "exit_code")
+
+
+def _listed(spark, d):
+    """Each document's tree: labelled documents have the page of their language, toxic ones no kit."""
     files = _trees(spark, d)
     labels = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
     root = F.col("doc_id").cast("string").alias("root")
     listing = labels.select(root, F.concat(F.lit("page-"), F.col("lang")).alias("path")).unionByName(labels.where("toxic = 0").select(root, F.lit("kit/a").alias("path")))
+    return files, listing
+
+
+def r_doctor(spark, d):
+    """Checks of each document's tree."""
+    files, listing = _listed(spark, d)
     found = agent_checks(files.select("root"), identity(files, "0", "none"), listing, prompts=LANGS, skills="kit/")
     return found.select(F.col("root").cast("long").alias("doc_id"), "healthy", F.array_join(F.transform("checks", lambda c: F.concat(c["id"], F.lit("="), c["passed"].cast("string"))), ",").alias("checks"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (r_lookup, r_default_lookup, r_first_block, r_last_wins, r_kv_extract, r_all_any, r_exists, r_sorted_join, r_append, r_json, r_identity, r_doctor)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (r_lookup, r_default_lookup, r_first_block, r_last_wins, r_kv_extract, r_all_any, r_exists, r_sorted_join, r_append, r_json, r_identity, r_doctor, r_topic, r_topics, r_backend, r_block_lines, r_duplicate_key, r_scalar, r_whoami, r_overview, r_report)}
+
+def _lines(items: list[str]) -> str:
+    """SQL for list items, one on a line."""
+    return " || chr(10) || ".join("'- " + item.replace("'", 2 * "'") + "'" for item in items)
+
 
 SQL: dict[str, str] = {
     "r_lookup": "select n_nationkey, n_name from nation where n_name = 'NATION_7'",
@@ -105,4 +167,21 @@ SQL: dict[str, str] = {
     "r_doctor": """with f as (select doc_id, d.lang, l.doc_id is not null as labelled, coalesce(toxic = 0, false) as kit from documents d left join labels l using (doc_id)),
         c as (select doc_id, lang in ('en', 'de') as known, lang in ('en', 'de') and labelled as page, kit from f)
         select doc_id, page and kit as healthy, case when known then 'prompt_file_present=' || page else 'backend_consistency=false' end || ',skills_present=' || kit as checks from c""",
+    "r_topic": "select n_nationkey, n_name from nation where n_name = 'NATION_7'",
+    "r_topics": "select * from (values (0, '', true), (1, 'millrace', true), (2, 'mill', true), (3, 'whoami', true), (4, 'learn', true), (5, 'explain', true), (6, 'overview', true), (7, 'doctor', true), (8, 'cli', true), (9, 'cli overview', true)) t(ord, path, titled)",
+    "r_backend": "select n_nationkey, case n_name when 'NATION_1' then 'one' when 'NATION_2' then 'two' when 'NATION_7' then 'seven' end as place from nation",
+    "r_block_lines": "select doc_id, '- suffix: ' || chr(39) || source || chr(39) || '|backend: ' || lang || '|model: m:' || n_chars as block from documents",
+    "r_duplicate_key": "select doc_id, lang as backend, cast(null as varchar) as model from documents",
+    "r_scalar": "select event_id, trim(regexp_extract(regexp_replace(props, '[{}\"]', '', 'g'), 'k:(.*)', 1)) as k from events",
+    "r_whoami": "select doc_id, 'nick: ' || source || chr(10) || 'version: 0' || chr(10) || 'backend: ' || lang || chr(10) || 'model: m:' || n_chars as as_text from documents",
+    "r_overview": f"""select doc_id, 'none' as subject, '# none' || chr(10) || chr(10) || '## Identity' || chr(10) || '- nick: ' || source || chr(10) || '- version: 0' || chr(10) || '- backend: ' || lang || chr(10) || '- model: m:' || n_chars || chr(10) || chr(10) || '## Verbs' || chr(10)
+        || {_lines([f"{v} — {what}" for v, what in VERBS.items()])} || chr(10) || chr(10) || '## Artifacts' || chr(10) || {_lines(ARTIFACTS)} as as_text from documents""",
+    "r_report": """with f as (select doc_id, d.lang, l.doc_id is not null as labelled, coalesce(toxic = 0, false) as kit from documents d left join labels l using (doc_id)),
+        c as (select doc_id, lang, lang in ('en', 'de') as known, lang in ('en', 'de') and labelled as page, kit from f)
+        select doc_id, 'none doctor' || chr(10) || chr(10)
+            || case when not known then '[FAIL] backend_consistency: culture.yaml names a backend that has no prompt file: ' || lang || chr(10) || '       hint: known backends: de, en'
+                when page then '[ok] prompt_file_present: prompt file page-' || lang || ' of backend ' || lang || ': found'
+                else '[FAIL] prompt_file_present: prompt file page-' || lang || ' of backend ' || lang || ': not found' || chr(10) || '       hint: add page-' || lang || ' beside culture.yaml' end
+            || chr(10) || case when kit then '[ok] skills_present: skills folder kit/ has entries' else '[FAIL] skills_present: skills folder kit/ has no entry' || chr(10) || '       hint: put at least one skill below kit/' end as as_text,
+            case when page and kit then 0 else 1 end as exit_code from c""",
 }

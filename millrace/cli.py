@@ -35,7 +35,7 @@ class Parser(argparse.ArgumentParser):
     as_json = False
 
     def error(self, message: str):
-        show_error(UserError(message, f"run '{self.prog} --help' to see valid arguments"), Parser.as_json)
+        show_error(UserError(message, f"{self.prog} --help lists what it takes"), Parser.as_json)
         raise SystemExit(1)
 
 
@@ -50,12 +50,13 @@ def build_parser() -> argparse.ArgumentParser:
             sub.add_argument("target", nargs="?")
         if verb == "explain":
             sub.add_argument("path", nargs="*")
-        if verb == "cli":
-            sub.add_argument("what", nargs="?", choices=["overview"])
+        if verb == "cli":  # the inner --json stands for itself: `cli --json overview` is text, `cli overview --json` is JSON
+            sub.add_subparsers(dest="what", parser_class=Parser).add_parser("overview").add_argument("--json", action="store_true")
     return parser
 
 
 def run(args: argparse.Namespace) -> int:
+    from .operators.checks import PROMPT_FILE, SKILLS
     from .operators.lookup import TopicNotFound, topic
     from .plans import introspection as plans
     from .session import local_session
@@ -63,7 +64,7 @@ def run(args: argparse.Namespace) -> int:
 
     spark = local_session()
     root = nearest_root(str(Path(__file__).parent), SOURCE)
-    files = read_identity_files(spark, f"{root}/{SOURCE}").selectExpr(f"'{root}' as root", "text") if root else spark.createDataFrame([("", None)], "root string, text string")
+    files = read_identity_files(spark, f"{root}/{SOURCE}") if root else spark.createDataFrame([("", None)], "root string, text string")
     if args.verb == "explain":
         try:
             row = topic(plans.topics_frame(spark), args.path).first()
@@ -77,7 +78,7 @@ def run(args: argparse.Namespace) -> int:
         return 0
     if args.verb == "doctor":
         roots = files.select("root")
-        listing = read_listing(spark, root, root) if root else spark.createDataFrame([], "root string, path string")
+        listing = read_listing(spark, root, [*PROMPT_FILE.values(), SKILLS]) if root else spark.createDataFrame([], "root string, path string")
         row = plans.doctor(roots, files if root else files.limit(0), listing).first()
     else:
         row = {"whoami": lambda: plans.whoami(files), "overview": lambda: plans.overview(files), "cli": lambda: plans.cli_overview(spark)}[args.verb]().first()

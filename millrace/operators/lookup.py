@@ -21,7 +21,7 @@ def lookup_default(table: dict[str, str], key: Column, default: str) -> Column:
 
 
 def topic(topics: DataFrame, path: list[str]) -> DataFrame:
-    """Row of topics (path array<string>, markdown) with this path; TopicNotFound if there is none."""
+    """Row of topics (path array<string>, …) with this path; TopicNotFound if there is none."""
     want = F.array(*map(F.lit, path)) if path else F.expr("cast(array() as array<string>)")
     found = topics.where(F.col("path") == want).limit(1)
     if found.isEmpty():

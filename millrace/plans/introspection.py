@@ -19,14 +19,33 @@ VERBS = {
     "doctor": "run the checks of the source tree",
 }
 ARTIFACTS = ["the identity file", "the prompt file of the backend", "the skills folder"]
-CONVENTIONS = ["every command takes --json", "results go to stdout, errors to stderr", "exit codes: 0 success, 1 user error, 2 environment error, 3 and more reserved"]
-#: Topic path -> page; several paths may share a page.
+CONVENTIONS = ["--json turns any result into one JSON value", "what was asked for is printed, what went wrong is logged to the error stream", "a run ends with 0 if all is well and with 1 otherwise"]
+_ROOT = """# millrace
+
+Introspection of source trees and preparation of training text on Spark.
+
+A source tree declares who works in it with a `culture.yaml` file: its first
+block names a nick, a backend and a model. `whoami` shows that block, `doctor`
+checks that the tree has what its backend needs, `overview` sums both up. The
+same plans run over one tree or over a folder of millions.
+
+""" + "\n".join(f"- `millrace {verb}`: {what}" for verb, what in VERBS.items())
+_PAGES = {
+    "whoami": "Prints four lines: nick, version, backend, model. The values stand in the first block of\nthe nearest `culture.yaml`; a second `suffix:` line ends the block, and within it the last\nline of a key wins. A key without a value is `unknown`.",
+    "learn": "Prints what the tool is for, its verbs, its exit codes and where to read on, for a reader\nwho sees it for the first time. `--json` gives the same as one object.",
+    "explain": "Prints the page of a topic, given as words: `millrace explain cli overview`. Without words it\nprints the start page. An unknown topic is an error.",
+    "overview": "Prints three sections: identity, verbs, artifacts. A target may be named and is ignored, so\nthe verb works on any tree.",
+    "doctor": "Runs the checks in order and prints one line for each, with a hint below a failed one. The\ntree is healthy only if every check passed, warnings too; the exit code says so.",
+}
+_CLI = "# cli\n\nThe command line itself.\n\n" + "\n".join(f"- {line}" for line in CONVENTIONS) + "\n\n`millrace cli overview` lists the verbs; bare `millrace cli` does the same."
+#: Topic path -> page; the start page has its name and a short alias, and both paths of the command line share a page.
 TOPICS: dict[tuple[str, ...], str] = {
-    (): "# millrace\n\nIdentity, checks and corpus preparation on Spark.",
-    ("millrace",): "# millrace\n\nIdentity, checks and corpus preparation on Spark.",
-    **{(verb,): f"# {verb}\n\nThe verb `{verb}`: {what}." for verb, what in VERBS.items()},
-    ("cli",): "# cli\n\nThe command line itself: its verbs and conventions.",
-    ("cli", "overview"): "# cli\n\nThe command line itself: its verbs and conventions.",
+    (): _ROOT,
+    ("millrace",): _ROOT,
+    ("mill",): _ROOT,
+    **{(verb,): f"# {verb}\n\n{page}" for verb, page in _PAGES.items()},
+    ("cli",): _CLI,
+    ("cli", "overview"): _CLI,
 }
 
 

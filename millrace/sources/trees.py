@@ -15,14 +15,30 @@ def nearest_root(start: str, name: str) -> str | None:
 
 
 def read_identity_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(root, text): each file is one row, read whole, so that no line order is lost."""
-    return spark.read.text(paths, wholetext=True).select(
-        F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("root"), F.col("value").alias("text")
+    """(root, text): each file is one row, read whole, so that no line order is lost; bytes that are not UTF-8 are an error."""
+    return spark.read.format("binaryFile").load(paths).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("root"), F.validate_utf8(F.col("content").cast("string")).alias("text")
     )
 
 
-def read_listing(spark: SparkSession, folder: str, root: str) -> DataFrame:
-    """(root, path): the files below a folder, by path relative to it; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    plain = F.regexp_replace("path", "^[a-z]+:/*", "/")
-    return files.select(F.lit(root).alias("root"), F.substring(plain, F.lit(len(folder.rstrip("/")) + 2), F.lit(1 << 20)).alias("path"))
+def read_listing(spark: SparkSession, roots: str, wanted: list[str]) -> DataFrame:
+    """(root, path) of the wanted paths that exist below the roots, which may be a glob.
+
+    A path that ends in a slash asks for an entry of that folder, any other one
+    for a regular file. Only the wanted places are looked up, in the file system
+    itself, so names that Spark's readers skip (those with a leading dot or
+    underscore) count too. Contents are not read.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    base = path(roots.rstrip("/") or "/")
+    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = set()
+    for want in wanted:
+        for status in fs.globStatus(path(base, want + "*" if want.endswith("/") else want)) or []:
+            if want.endswith("/") or status.isFile():
+                full = status.getPath().toString()
+                root = full
+                for _ in range(len(want.strip("/").split("/")) + want.endswith("/")):
+                    root = root.rsplit("/", 1)[0]
+                found.add((root, want + full.rsplit("/", 1)[1] if want.endswith("/") else want))
+    return spark.createDataFrame(sorted(found), "root string, path string")
