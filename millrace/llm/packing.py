@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import materialize, steps, text_column
 
 CAPACITY = 2048
-#: Words of a generation of what a worker remembers.
-REMEMBERED = 400_000
+#: Words of a generation of what a worker remembers, about 200 bytes each; a step of text may add its own words once.
+REMEMBERED = 100_000
 RANKED_TOGETHER = 10_000
 
 
@@ -35,8 +35,9 @@ def _class(prefix: str) -> str:
 
 #: How the vocabulary file cuts a text into words, for code points below U+0250.
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_class('L')}]+|[{_class('N')}]|[^\s{_class('L')}{_class('N')}]+")
-#: Texts with other code points, control signs or special tokens go to the tokenizer whole.
-_ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]|<\\|startoftext\\|>|<\\|endoftext\\|>")
+#: Texts with other code points, letters whose lower case is another one, control signs or special tokens go to the tokenizer whole.
+_OWN = "".join(re.escape(chr(c)) for c in range(0xA1, 0x250) if max(map(ord, chr(c).lower())) < 0x250)
+_ODD = re.compile(rf"[^\t\n\r\x20-\x7e{_OWN}]|<\|startoftext\|>|<\|endoftext\|>")
 
 
 class Encoder:
@@ -52,14 +53,16 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_file(path), {}, {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def _learn(self, words: list[str]) -> None:
-        """Encode words, many in one text: white space between them keeps them apart, and each token tells its word."""
+        """Encode words, many in one text: white space between them keeps them apart, and the last token of each word is marked as such."""
         for low in range(0, len(words), 4096):
             some = words[low : low + 4096]
-            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
-            ids, word = np.asarray(found.ids, "<u4"), np.asarray(found.word_ids)
-            cuts = (4 * np.searchsorted(word, np.arange(len(some) + 1))).tolist()
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
             raw = ids.tobytes()
             self.young.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 

@@ -25,6 +25,24 @@ def test_words_encode_like_the_tokenizer():
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text[:80])
 
 
+def test_every_code_point_inside_plain_text():
+    t, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    chars = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000]
+    texts = [f"{c}ata is{c}on a {c} b{c}" for c in chars]
+    for text, ids, want in zip(texts, encode(texts), t.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == want.ids, repr(text)
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    t, encode = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    rng = random.Random(3)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(30))
+        assert np.frombuffer(encode([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert len(encode.young) <= 80 and len(encode.old) <= 80
+
+
 def check(rows, capacity):
     by = {}
     for r in rows:
