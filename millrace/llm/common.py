@@ -1,11 +1,13 @@
-"""What the operators share: the shared folder, fold numbers and Arrow text access."""
+"""What the operators share: tables between their steps, fold numbers, names and Arrow text access."""
 
 from __future__ import annotations
 
+import functools
 import tempfile
-import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -16,30 +18,91 @@ from pyspark.sql import functions as F
 STEP_BYTES = 1 << 20
 
 
+#: While a table is written: shuffles are deleted with the job that made them, and Arrow batches are cut by bytes, since 10,000 documents may be large.
+SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: Folders of the tables that the operator at work has written.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is missing, as in a local session, a folder of this machine is taken.
+    Without that setting a folder of this machine is taken in a local session;
+    on a cluster that is an error, since executors would not see one another's files.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or f'file://{tempfile.mkdtemp()}').rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp()}"
+    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
 
 
-def materialize(frame: DataFrame) -> DataFrame:
-    """The rows of a frame, written to the shared folder and read again: lineage ends here, and lost executors cost nothing.
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
-    The shuffles that led here are needed no more. Spark deletes their files once
-    the driver's collector has seen that, which takes two looks, a moment after
-    the last event of the job has been handled.
-    """
+
+def lean(frame: DataFrame) -> DataFrame:
+    """The frame itself; from here on its session cuts Arrow batches by bytes."""
+    frame.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", SETTINGS["spark.sql.execution.arrow.maxBytesPerBatch"])
+    return frame
+
+
+def materialize(frame: DataFrame) -> DataFrame:
+    """The rows of a frame, written to the shared folder and read again: lineage ends here, and lost executors cost nothing."""
     path = shared_folder(frame.sparkSession)
-    frame.write.parquet(path)
-    for _ in range(2):
-        time.sleep(0.2)
-        frame.sparkSession.sparkContext._jvm.System.gc()
+    if _written.get() is not None:
+        _written.get().append(path)
+    with settings(frame.sparkSession, SETTINGS):
+        frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folders: list[str]) -> None:
+    """Delete folders of the shared file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for folder in folders:
+        at = path(folder)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """An operator whose result is written too, after which the tables between its steps are deleted."""
+
+    @functools.wraps(operator)
+    def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+        own: list[str] = []
+        outer = _written.set(own)
+        try:
+            out = operator(lean(docs), *args, **kwargs)
+            _written.reset(outer)
+            outer = None
+            return materialize(out)
+        finally:
+            if outer is not None:
+                _written.reset(outer)
+            delete(docs.sparkSession, own)
+
+    return run
+
+
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, or one like it that no column has."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     """crc32 of the id as text, modulo parts; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % parts

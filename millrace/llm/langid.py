@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, steps, text_bytes
+from .common import fold, fresh, lean, materialize, steps, text_bytes
 
 #: The bound of the training sample for each language.
 PER_LANGUAGE = 800
@@ -160,10 +160,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel | No
 
 
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
-    """docs with lang_pred and score; a text that is null or has no letter is ``und`` with score 0."""
+    """docs with lang_pred and score, which replace columns of these names; a text that is null or has no letter is ``und`` with score 0."""
     if model is None:
         return docs.withColumns({"lang_pred": F.lit("und"), "score": F.lit(0.0)})
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def run(text: pa.Array) -> pa.Array:
@@ -175,12 +175,20 @@ def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["lang", "score"])
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.withColumn("_found", run(F.lower(text)))
+    found = fresh(docs, "found")
+    out = docs.withColumn(found, run(F.lower(text)))
     letters = text.rlike("\\p{L}")
-    return out.withColumns({"lang_pred": F.when(letters, F.col("_found.lang")).otherwise("und"), "score": F.when(letters, F.col("_found.score")).otherwise(0.0)}).drop("_found")
+    return out.withColumns({"lang_pred": F.when(letters, F.col(f"{found}.lang")).otherwise("und"), "score": F.when(letters, F.col(f"{found}.score")).otherwise(0.0)}).drop(found)
 
 
 def languages(docs: DataFrame) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text, lang, …); an empty table gives none."""
+    """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text, lang, …).
+
+    A null text, an empty one and one without a letter are ``und``. Rows are
+    predicted one by one, so repeated rows agree; equal votes go to the greater
+    margins, then to the name that sorts first. Null ids are never held out. Null
+    languages teach nothing. Very long texts are a step of their own. Other
+    columns are not read. An empty table gives no rows.
+    """
     found = predict(docs.select("doc_id", "text"), fit(docs.select("doc_id", "text", "lang")))
     return found.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")

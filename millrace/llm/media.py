@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import webp
-from .common import steps, text_bytes
+from .common import lean, steps, text_bytes
 
 #: Samples of a row, and rows of an image; a longer payload goes on in further images behind the first.
 WIDTH, ROWS = 64, 256
@@ -95,7 +95,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
 
     Each text is stored, and all figures of the payload come from the stored
     bytes read back. A null text counts as empty and has 64 zeros. Rows are
-    independent of one another; an empty table gives no rows.
+    independent of one another, so repeated rows and null ids need no care; a
+    very long text is several images. Other columns are not read. An empty table
+    gives no rows.
     """
-    found = docs.select("doc_id", F.arrow_udf(_checked, RESULT)(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
+    found = lean(docs).select("doc_id", F.arrow_udf(_checked, RESULT)(F.coalesce(F.col("text"), F.lit(""))).alias("m"))
     return found.select("doc_id", "m.*")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, steps, text_bytes, text_column
+from .common import materialize, steps, text_bytes, text_column, tidy
 from .components import components
 from .words import shingles
 
@@ -155,6 +155,7 @@ def _block_of(node, n):
     return F.pmod(F.xxhash64(node), n).cast("int")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs (doc_id, text, …).
 

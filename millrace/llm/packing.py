@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, text_column
+from .common import materialize, steps, text_column, tidy
 
 CAPACITY = 2048
 #: Words of a generation of what a worker remembers, about 200 bytes each; a step of text may add its own words once.
@@ -153,6 +153,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return out
 
 
+@tidy
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset[, ids]): every piece with its place.
 

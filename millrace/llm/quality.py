@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, fold, materialize, steps, text_bytes, text_column
+from .common import STEP_BYTES, fold, lean, materialize, steps, text_bytes, text_column
 from .words import LOWER, prefix_hashes, range_hashes, word_ranges
 
 #: The bound of the labelled sample; rows are taken by a hash of their id.
@@ -159,6 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Quali
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("quality").cast(pa.float32()), pa.array(list(x), pa.list_(pa.float32()))], ["doc_id", "quality", "x"])
 
     got = sample.select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality float, x array<float>").orderBy(F.xxhash64("doc_id")).toArrow()  # at most max_train rows
+    shared.unpersist()
     y = got["quality"].to_numpy()
     if len(set(y.tolist())) < 2:
         return QualityModel(words, shapes, None, float(y.mean()) if len(y) else 0.5)
@@ -176,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Quali
 
 def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFrame:
     """docs with a score from 0 to 1 for every text; a null or empty text has the score of no words."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = lean(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
     def run(text: pa.Array) -> pa.Array:
@@ -189,6 +190,13 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score") -> DataFr
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text, …); an empty table gives none."""
+    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text, …).
+
+    A null text counts as empty, and an empty one has the score of no words. Rows
+    are scored one by one, so repeated rows and ties have equal scores, and null
+    ids are never held out. Very long texts are a step of their own. Of labels
+    only doc_id and quality are read, of docs only doc_id and text, whatever else
+    is there. An empty table gives no rows.
+    """
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

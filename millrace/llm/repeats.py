@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, steps, text_bytes, text_column
+from .common import materialize, steps, text_bytes, text_column, tidy
 from .words import mix, prefix_hashes, range_hashes
 
 LENGTH, TRIGGER = 100, 32
@@ -201,6 +201,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
     return materialize(rows.withColumn("dup", (F.row_number().over(W.partitionBy("d").orderBy("text")) - 1).cast("long")))
 
 
+@tidy
 def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row of docs (doc_id, text, …).
 
