@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh, lean
+
 EXAMPLES, TREES, DEPTH, RATE, BINS, PRECISION = 6000, 40, 3, 0.3, 32, 0.98
 KINDS = ("email", "ip", "card", "phone", "secret", "national_id", "iban", "local_phone", "spelled_email")
 BASE = KINDS[:4]
@@ -71,7 +73,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     out = [(a, 0, b) for a, b in _emails(text)] if "@" in text else []
     if _DIGIT.search(text):
         if "." in text:
-            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split("."))]
+            out += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 12:
                 digits = m.group().replace(" ", "").replace("-", "")
@@ -353,7 +355,7 @@ def scan(docs: DataFrame, redacting: bool = True, column: str = "pii") -> DataFr
     Offsets count code points. Rows are independent of one another, so repeated
     rows, null ids and other columns need no care; an empty table stays empty.
     """
-    trees = docs.sparkSession.sparkContext.broadcast(model())
+    trees = lean(docs).sparkSession.sparkContext.broadcast(model())
     return docs.withColumn(column, _finder(trees, redacting)(F.coalesce(F.col("text"), F.lit(""))))
 
 
@@ -364,4 +366,5 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs with every span of the text masked; null texts stay null, other columns stay as they are."""
-    return scan(docs, True, "_pii").withColumn("text", F.when(F.col("text").isNotNull(), F.col("_pii.redacted"))).drop("_pii")
+    found = fresh(docs, "found")
+    return scan(docs, True, found).withColumn("text", F.when(F.col("text").isNotNull(), F.col(f"{found}.redacted"))).drop(found)
