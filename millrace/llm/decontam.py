@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_column
+from .common import fresh, lean, materialize, text_column
 
 #: One error for so many characters of the normalised item.
 CHARS_PER_ERROR = 16
@@ -133,19 +134,19 @@ class Block:
         return [{"item_id": self.items[k][0], "distance": d, "match_start": a, "match_end": b} for k, (d, a, b) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Block]:
-    """Items of benchmark (item_id, text) in blocks of a bounded size; one block is collected at a time.
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
+    """Items of benchmark (item_id, text) in blocks of a bounded size, one at a time; one without items at least.
 
     Null ids and texts, and items with fewer than MIN_CHARS letters or digits, are left out.
     """
     items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("t")).where(F.length("t") >= MIN_CHARS).distinct()
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = int(total // block_chars) + 1
-    out = []
+    if parts > 1:
+        items = materialize(items)
     for k in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == k).orderBy("item_id", "t").collect()
-        out.append(Block([(r.item_id, unicodedata.normalize("NFC", r.t)) for r in rows]))
-    return out
+        rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == k).orderBy("item_id", "t").collect()  # about block_chars characters
+        yield Block([(r.item_id, unicodedata.normalize("NFC", r.t)) for r in rows])
 
 
 def _searcher(block):
@@ -159,26 +160,46 @@ def _searcher(block):
     return run
 
 
+def _each_block(docs: DataFrame, benchmark: DataFrame, block_chars: int, apply: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
+    """apply(docs, matches of a block) for one block after another; a block is released before the next one is collected."""
+    held = None
+    for block in blocks(benchmark, block_chars):
+        if held is not None:
+            docs = materialize(docs)
+            held.unpersist()
+        held = lean(docs).sparkSession.sparkContext.broadcast(block)
+        docs = apply(docs, _searcher(held)(normalised(F.col("text"))))
+    return docs
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with an array of the benchmark items found in each text; offsets count characters of the normalised text."""
-    found = []
-    out = docs
-    for k, block in enumerate(blocks(benchmark, block_chars)):
-        found.append(f"_block{k}")
-        out = out.withColumn(found[-1], _searcher(docs.sparkSession.sparkContext.broadcast(block))(normalised(F.col("text"))))
-    return out.withColumn(column, F.concat(*found)).drop(*found)
+    """docs with an array of the benchmark items found in each text, by item; offsets count characters of the normalised text.
+
+    The new column replaces one of its name; the others stay as they are.
+    """
+    def add(frame: DataFrame, found: Column) -> DataFrame:
+        return frame.withColumn(column, F.array_sort(F.concat(column, found)))
+
+    return _each_block(docs.withColumn(column, F.expr(f"cast(array() as {MATCHES})")), benchmark, block_chars, add)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, match_start, match_end): one row for each document and item found in it.
 
-    Documents are whole texts; null and empty texts match nothing. Repeated rows
-    each have their matches. An empty table on either side gives no rows.
+    Documents are whole texts, however long; null and empty texts match nothing.
+    Repeated rows each have their matches, null ids too. Of several places of an
+    item with the same distance one is given. Other columns are not read. An
+    empty table on either side gives no rows.
     """
-    found = matches(text_column(docs, "doc_id"), benchmark)
+    found = matches(text_column(docs, "doc_id"), benchmark, "matches", block_chars)
     return found.select("doc_id", F.inline("matches"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any benchmark item, with their columns as they are."""
-    return matches(docs, benchmark, "_leaks").where(F.size("_leaks") == 0).drop("_leaks")
+def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The rows of docs without any benchmark item, with their columns as they are; rows with a null or empty text stay."""
+    found = fresh(docs, "found")
+
+    def drop(frame: DataFrame, hits: Column) -> DataFrame:
+        return frame.withColumn(found, F.size(hits)).where(F.col(found) == 0).drop(found)
+
+    return _each_block(docs, benchmark, block_chars, drop)

@@ -70,7 +70,8 @@ def test_brute_force_with_errors(spark):
         assert {(r.doc_id, r.item_id): r.distance for r in rows} == want
         texts = dict(items)
         assert all(distance_within(norm(texts[r.item_id]), norm(r.text)[r.match_start : r.match_end]) == r.distance for r in rows)
-    assert {r.doc_id for r in decontam.clean(f, b).collect()} == {d for d, _ in docs} - {d for d, _ in want}
+        assert {(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(f, b, size).collect()} == {(*k, n) for k, n in want.items()}
+        assert {r.doc_id for r in decontam.clean(f, b, size).collect()} == {d for d, _ in docs} - {d for d, _ in want}
 
 
 def test_items_that_repeat_their_own_pieces():
@@ -106,3 +107,7 @@ def test_edges(spark):
     assert sorted(str(r.doc_id) for r in decontam.leaks(docs, items).collect()) == ["3", "3", "None"]
     assert decontam.leaks(docs.limit(0), items).count() == 0 and decontam.leaks(docs, items.limit(0)).count() == 0
     assert decontam.clean(docs, items).columns == docs.columns and decontam.clean(docs, items).count() == 2
+    clash = docs.selectExpr("doc_id", "text", "7 as found", "8 as found_", "9 as _leaks")
+    kept = decontam.clean(clash, items)
+    assert kept.columns == clash.columns and {(r.found, r.found_, r._leaks) for r in kept.collect()} == {(7, 8, 9)}
+    assert decontam.matches(docs, items).columns == docs.columns
