@@ -25,10 +25,10 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twelve arrivals: eight of a tenth of the documents each, and four of a twentieth."""
+    """Every row as it is read back after twelve arrivals, eight of a tenth of the documents each and four of a twentieth, and their compaction."""
     part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(20))
     arrival = F.when(part < 16, F.floor(part / 2)).otherwise(part - 8)
-    return shards.sharded(documents(spark, sf_dir), shared_folder(spark), arrival, target_bytes=32 << 20)
+    return shards.sharded(documents(spark, sf_dir), shared_folder(spark), arrival, target_bytes=32 << 20).select("doc_id", "n_bytes", "text_sha256")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, pipeline)}
 SQL: dict[str, str] = {
+    "op2_sharding": "select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, sha256(coalesce(text, '')) as text_sha256 from documents",
     "op1_suffix_array_dedup": """
         with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
         bytes as (select doc_id, i, substr(h, 2 * i + 1, 2) as x, case when i + 100 <= n then md5(substr(h, 2 * i + 1, 200)) end as w from d, unnest(range(n)) as u(i)),

@@ -1,26 +1,35 @@
 """A table of immutable shards that grows by appending and is kept small by size-tiered compaction.
 
-Arrivals are written as small runs and never changed. Runs whose sizes fall in
-one tier are merged, as soon as there are ``fan_in`` of them, into one run of
-target-sized files, without a shuffle. What belongs to a version is named by its
-manifest, a table of files; a version exists from the moment its small pointer
-file has been created, which fails if another writer was faster. Readers of an
-older version keep its files until they are vacuumed.
+Arrivals are written as small runs and never changed. The tier of a run is the
+logarithm of its measured size. Runs of one tier are merged, as soon as there are
+``fan_in`` of them, into one run of target-sized files, without a shuffle; its own
+size says which tier that is. What belongs to a version is named by its manifest,
+a table of files; a version exists from the moment its small pointer file has its
+name, and a writer that finds the name taken fails. That holds where a rename to
+an existing name fails, as in HDFS and local folders; on an object store without
+such a rename, give the table to one writer at a time. Readers of an older version
+keep its files until they are vacuumed.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import fresh
+
 ENTRY = "run string, folder string, path string, tier int, n_rows long, n_bytes long"
 #: Runs smaller than this share the lowest tier.
 UNIT = 1 << 20
+#: Seconds that a writer may take from its first file to its commit; vacuum leaves younger files alone.
+GRACE = 24 * 3600
 
 
 class Conflict(RuntimeError):
@@ -61,7 +70,7 @@ class ShardTable:
 
     def _commit(self, entries: DataFrame, schema: T.StructType, version: int) -> int:
         """Write a manifest, then create its pointer: the one step that counts, and that fails if the version exists."""
-        place = f"{self.folder}/manifests/{uuid.uuid4().hex}"
+        place = f"{self.folder}/manifests/{version:010d}-{uuid.uuid4().hex}"
         entries.selectExpr("run", "folder", "path", "tier", "n_rows", "n_bytes").write.parquet(place)
         body = json.dumps({"entries": place, "schema": schema.jsonValue()}).encode()
         # the body is complete before the name exists; a rename to an existing file fails
@@ -71,7 +80,7 @@ class ShardTable:
             stream.write(bytearray(body))
         finally:
             stream.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        if (self.versions() or [0])[-1] >= version or not self._fs.rename(draft, final):
             self._fs.delete(draft, False)
             raise Conflict(f"version {version} exists")
         return version
@@ -81,6 +90,11 @@ class ShardTable:
     def _tier(self, size) -> F.Column:
         return F.greatest(F.lit(0), F.floor(F.log(F.greatest(size / F.lit(UNIT), F.lit(1.0))) / math.log(self.fan_in) + 1e-9)).cast("int")
 
+    def _batch(self, k: int = 0) -> str:
+        """A new name for a folder of runs; names sort by version, so a merge reads its runs in the order of their arrival."""
+        known = self.versions()
+        return f"{(known[-1] if known else 0) + 1:010d}-{k:03d}-{uuid.uuid4().hex}"
+
     def _files(self, folder: str, schema: T.StructType) -> DataFrame:
         """Entries of the files below a folder; run and tier are still open."""
         files = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(folder)
@@ -98,21 +112,22 @@ class ShardTable:
         schema = self.schema() or docs.schema
         if [(f.name, f.dataType) for f in schema] != [(f.name, f.dataType) for f in docs.schema]:
             raise ValueError("columns differ from the table's")
-        batch = uuid.uuid4().hex
-        place, key = f"{self.folder}/data/{batch}", f"_run_{batch[:8]}"
+        batch = self._batch()
+        place, key = f"{self.folder}/data/{batch}", f"_run_{batch[-8:]}"
         docs.withColumn(key, (arrival if arrival is not None else F.lit(0)).cast("string")).write.option("compression", "zstd").partitionBy(key).parquet(place)
         new = self._files(place, schema).withColumn("folder", F.regexp_replace("path", "/[^/]*$", "")).withColumn("run", F.concat(F.lit(f"{batch}/"), F.regexp_extract("folder", "=([^/]*)$", 1)))
         sizes = new.groupBy("run").agg(self._tier(F.sum("n_bytes")).alias("tier"))
         return self._commit(self.manifest().unionByName(new.join(sizes, "run").select("run", "folder", "path", "tier", "n_rows", "n_bytes")), schema, (known[-1] if known else 0) + 1)
 
-    def compact(self) -> int | None:
-        """Merge every tier that has ``fan_in`` runs, until none has; gives the last version, None if nothing was due.
+    def compact(self, rounds: int | None = None) -> int | None:
+        """Merge every tier that has ``fan_in`` runs, until none has or for so many rounds; gives the last version, None if nothing was due.
 
         A merge reads whole runs and packs their pieces into target-sized files
-        by coalescing partitions: rows stay where they are read.
+        by coalescing partitions: rows stay where they are read. Each merge
+        leaves fewer runs, so this ends.
         """
         done = None
-        while True:
+        for _ in itertools.count() if rounds is None else range(rounds):
             runs = self.manifest().groupBy("run").agg(F.first("folder").alias("folder"), F.first("tier").alias("tier"), F.sum("n_bytes").alias("n_bytes"))
             # run by run, not row by row: tiers keep their number near fan_in times the logarithm of the size
             due = [r for r in runs.groupBy("tier").agg(F.collect_list("folder").alias("folders"), F.collect_list("run").alias("names"), F.sum("n_bytes").alias("n_bytes")).collect() if len(r.folders) >= self.fan_in]
@@ -121,30 +136,43 @@ class ShardTable:
             entries, schema, version = self.manifest(), self.schema(), self.versions()[-1]
             merged = [n for r in due for n in r.names]
             keep = entries.where(~F.col("run").isin(merged))
-            for r in due:
-                batch = uuid.uuid4().hex
+            for k, r in enumerate(due):
+                batch = self._batch(k)
                 place = f"{self.folder}/data/{batch}"
                 rows = self.spark.read.schema(schema).parquet(*sorted(r.folders))
                 rows.coalesce(max(1, math.ceil(r.n_bytes / self.target_bytes))).write.option("compression", "zstd").parquet(place)
-                new = self._files(place, schema).select(F.lit(batch).alias("run"), F.lit(place).alias("folder"), "path", F.lit(r.tier + 1).alias("tier"), "n_rows", "n_bytes")
-                keep = keep.unionByName(new)
+                new = self._files(place, schema)
+                size = new.agg(F.sum("n_bytes").alias("size")).select(self._tier(F.col("size")).alias("tier"))  # one row
+                keep = keep.unionByName(new.crossJoin(F.broadcast(size)).select(F.lit(batch).alias("run"), F.lit(place).alias("folder"), "path", "tier", "n_rows", "n_bytes"))
             done = self._commit(keep, schema, version + 1)
+        return done
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Delete data of runs that none of the latest ``keep`` versions names, and older versions; gives the number of folders deleted."""
+    def vacuum(self, keep: int = 1, grace: float = GRACE) -> int:
+        """Delete versions before the latest ``keep``, and folders that no version left names; gives the number of data folders deleted.
+
+        What was changed less than ``grace`` seconds ago stays: a folder may
+        belong to a writer that has not committed yet, and the name of a version
+        must stay taken for writers that began before it.
+        """
         known = self.versions()
         if not known:
             return 0
-        live = {r.folder.rstrip("/").split(":")[-1].lstrip("/") for v in known[-keep:] for r in self.manifest(v).select("folder").distinct().collect()}
+        plain = lambda folder: self._path(folder).toUri().getPath().rstrip("/")
+        latest, gone = 1000 * (time.time() - grace), 0
         for v in known[:-keep]:
-            self._fs.delete(self._path(f"{self.folder}/versions/{v:010d}.json"), False)
-        gone = 0
-        for batch in self._fs.listStatus(self._path(f"{self.folder}/data")):
-            inner = [f.getPath() for f in self._fs.listStatus(batch.getPath()) if f.isDirectory()] or [batch.getPath()]
-            for p in inner:
-                if p.toUri().getPath().lstrip("/") not in live:
-                    self._fs.delete(p, True)
-                    gone += 1
+            name = self._path(f"{self.folder}/versions/{v:010d}.json")
+            if self._fs.getFileStatus(name).getModificationTime() <= latest:
+                self._fs.delete(name, False)
+        left = self.versions()
+        live = {plain(r.folder) for v in left for r in self.manifest(v).select("folder").distinct().collect()}
+        live |= {plain(self._pointer(v)["entries"]) for v in left}
+        inside = lambda at: [f for f in self._fs.listStatus(at) if f.isDirectory()]
+        for top in ("data", "manifests"):
+            for batch in inside(self._path(f"{self.folder}/{top}")):
+                for f in inside(batch.getPath()) or [batch]:
+                    if plain(f.getPath().toString()) not in live and f.getModificationTime() <= latest:
+                        self._fs.delete(f.getPath(), True)
+                        gone += top == "data"
         return gone
 
     # reading
@@ -167,15 +195,19 @@ def sharded(docs: DataFrame, folder: str, arrival: F.Column, fan_in: int = 4, ta
 
     Gives (doc_id, n_bytes, text_sha256, tier, shard, shard_rows): the bytes and
     digest of the text as it was read back (a null text counts as empty), the
-    tier and number of its shard, and how many rows the shard holds. Repeated
-    rows and null ids are kept. An empty table gives no rows.
+    tier of its shard, a number that comes from the shard's rows alone, and how
+    many rows the shard holds. Repeated rows and null ids are kept; equal rows of
+    one arrival may lie in any of its files. Very long texts are rows like any
+    other. Other columns are stored and read back with the rest, but not given.
+    An empty table gives no rows.
     """
     store = ShardTable(docs.sparkSession, folder, fan_in, target_bytes)
     store.append(docs, arrival)
     store.compact()
-    store.vacuum()
-    # shards are numbered by path; there is one row for each file
-    files = store.manifest().select("path", "tier", F.col("n_rows").alias("shard_rows"))
+    store.vacuum(grace=0)  # nobody else writes here
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = store.read(path="_file").select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), F.col("_file").alias("path"))
-    return rows.join(files, "path").select("doc_id", "n_bytes", "text_sha256", "tier", F.regexp_extract("path", "([^/]+)$", 1).alias("shard"), "shard_rows")
+    file = fresh(docs, "file")
+    rows = store.read(path=file).select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"), F.col(file).alias("path"))
+    number = F.sum(F.shiftright(F.xxhash64("doc_id", "text_sha256"), 24)).alias("shard")
+    files = rows.groupBy("path").agg(number).join(store.manifest().select("path", "tier", F.col("n_rows").alias("shard_rows")), "path")  # one row for each file
+    return rows.join(files, "path").select("doc_id", "n_bytes", "text_sha256", "tier", "shard", "shard_rows")
