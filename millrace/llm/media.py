@@ -14,7 +14,7 @@ from . import webp
 from .common import lean, steps, text_bytes
 
 #: Samples of a row, and rows of an image; a longer payload goes on in further images behind the first.
-WIDTH, ROWS = 64, 256
+WIDTH, ROWS = 64, 64
 #: Bytes of text whose images are read back in step.
 STEP = 4 << 20
 RESULT = "struct<n_bytes:bigint,payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string,feature:string>"

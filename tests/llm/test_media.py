@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import duckdb
@@ -83,6 +84,57 @@ def test_fast_lane_is_the_same_format():
     assert [s.tobytes() for s in webp.decode_texts(mixed)] == [webp.decode(s)[..., 2].tobytes() for s in mixed]
 
 
+def test_forms_of_lanes():
+    """Every form that texts are stored in, read back in lanes and by the general decoder."""
+    rng = np.random.default_rng(8)
+    period, ramp = rng.integers(0, 256, 64, dtype=np.uint8), np.arange(4096) // 3
+    texts = [
+        b"\0" * 64, b"ab" * 2048, bytes(rng.integers(0, 4, 4096, dtype=np.uint8)), bytes(rng.integers(0, 16, 1024, dtype=np.uint8)), bytes(rng.integers(0, 256, 4096, dtype=np.uint8)),
+        (b"the same line of words again and again\n" * 120)[:4096], bytes(((ramp * ramp) & 255).astype(np.uint8)), bytes(np.cumsum(rng.integers(0, 3, 4096)).astype(np.uint8)),
+        bytes((np.tile(period, 64) + np.repeat(np.arange(64), 64)).astype(np.uint8)), "я не знаю, как это будет по-русски, но надо ".encode() * 3 + b" " * 54, b"plain words that do not come back, " * 1 + b"." * 29,
+    ]
+    texts = [t + b"\0" * (-len(t) % 64) for t in texts]
+    streams = webp.encode_texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [s.tobytes() for s in webp.decode_texts(streams)] == texts
+    assert [webp.decode(s)[..., 2].tobytes() for s in streams] == texts
+    assert all((webp.decode(s)[..., [0, 1, 3]] == [255, 0, 0]).all() for s in streams)
+    lanes = [webp._lane(s) for s in streams]
+    known = [webp._known_lane(s) is not None for s in streams]
+    assert any(known) and not all(known) and all(lanes) and sum(bool(lane.undo) for lane in lanes) >= 5
+    assert any(lane.green.only is None and lane.green.symbol.max() > 255 for lane in lanes)
+    for s in streams:  # an image alone is stored as it is among others
+        assert webp.encode_texts(np.frombuffer(webp.decode(s)[..., 2].tobytes(), np.uint8), np.array([0, webp.decode(s)[..., 2].size])) == [s]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lanes_of_random_repetition(seed):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(60):
+        words = [bytes(rng.randrange(97, 97 + rng.randrange(1, 26)) for _ in range(rng.randrange(1, 12))) for _ in range(rng.randrange(1, 40))]
+        t = b" ".join(rng.choice(words) for _ in range(rng.randrange(1, 600)))[:4096]
+        texts.append(t + b"\0" * (max(64, -(-len(t) // 64) * 64) - len(t)))
+    streams = webp.encode_texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    assert [s.tobytes() for s in webp.decode_texts(streams)] == texts
+    for s, t in zip(streams, texts, strict=True):
+        assert webp.decode(s)[..., 2].tobytes() == t
+        with pytest.raises(ValueError):
+            webp.decode_texts([s[: max(6, len(s) * 2 // 3)]])
+
+
+def test_a_megapixel_is_linear():
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 256, (1024, 1024, 4))
+    x[512:] = x[:512, :, :] & 3
+    modes = rng.integers(0, 14, (2, 2))
+    stream = webp.encode(x, (("predictor", 9, modes), ("cross colour", 9, rng.integers(0, 256, (2, 2, 4))), ("subtract green",)), 8, True)
+    began = time.process_time()
+    assert (webp.decode(stream) == x).all()
+    took = time.process_time() - began
+    print("a megapixel takes", took)
+    assert took < 40  # minutes, if a symbol cost more the longer the file is
+
+
 def test_whole_table(spark):
     docs = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall())
     rows = op9_media_columns(spark, "/root/testdata/sf0.01").collect()
@@ -102,5 +154,5 @@ def test_edges(spark):
     got = media.media_digests(docs).collect()
     assert [(r.n_bytes, r.payload_bytes) for r in got] == [(0, 64), (0, 64), (80_000, 80_000), (80_000, 80_000)] and got[2][1:] == got[3][1:]
     images = docs.select(media.pixel_arrays(media.encode_text(F.col("text"))).alias("i")).collect()
-    assert [[(p.width, p.height) for p in r.i] for r in images][2] == [(64, 256)] * 4 + [(64, 226)]
+    assert [[(p.width, p.height) for p in r.i] for r in images][2] == [(64, 64)] * 19 + [(64, 34)]
     assert b"".join(bytes(p.argb)[2::4] for p in images[2].i).decode() == "é" * 40_000
