@@ -144,9 +144,10 @@ def _links(blocks: DataFrame, reps: DataFrame, texts: DataFrame, width: int, per
     """Confirmed links (a, b) of blocks (star, bi, bj, node, comp, on_left, on_right)."""
     schema = "star long, bi int, bj int, node long, comp long, on_left boolean, on_right boolean"
     share = percent / 100 - SLACK
-    with_sketch = blocks.join(reps.select("node", "sketch"), "node")
+    # the same kind of join at every size, so that what is shuffled follows the input
+    with_sketch = blocks.join(reps.select("node", "sketch").hint("merge"), "node")
     likely = materialize(with_sketch.groupBy("star", "bi", "bj").applyInPandas(_likely(share), schema))
-    with_text = likely.join(texts, "node")
+    with_text = likely.join(texts.hint("merge"), "node")
     return materialize(with_text.groupBy("star", "bi", "bj").applyInPandas(_confirm(width, percent), "a long, b long"))
 
 
@@ -163,8 +164,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     sets of ``width``-word shingles; component_id is the least doc_id that links
     reach. Null and empty texts have an empty set and no link. Rows that share a
     doc_id count as one document. Rows with a null doc_id are linked with
-    nothing, kept, and have a null component_id. Other columns are ignored. An
-    empty table gives an empty result.
+    nothing, kept, and have a null component_id. Very long texts are a step of
+    their own. Other columns are ignored. An empty table gives an empty result.
     """
     sk = materialize(sketches(docs, width))
     least = sk.where("n > 0 and doc_id is not null").groupBy("set_hash").agg(F.min("doc_id").alias("node"))
@@ -194,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = materialize(placed.join(hub, "star").withColumn("out", F.col("comp") != F.col("hub")))
     todo = placed.groupBy("star").agg(F.count("*").alias("m"), F.count_if("out").alias("k")).where("k > 0 and m > 2")
     todo = todo.select("star", (F.floor(F.col("m") / BLOCK) + 1).cast("int").alias("nr"), (F.floor(F.col("k") / BLOCK) + 1).cast("int").alias("nl"))
-    rest = placed.join(todo, "star")
+    rest = placed.join(todo, "star").repartition("star", "node")  # members of a large star meet in no task before they are dealt to blocks
     right = rest.select("star", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("bi"), _block_of(F.col("node"), F.col("nr")).alias("bj"), "node", "comp", F.lit(False).alias("on_left"), F.lit(True).alias("on_right"))
     left = rest.where("out").select("star", _block_of(F.col("node"), F.col("nl")).alias("bi"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("bj"), "node", "comp", F.lit(True).alias("on_left"), F.lit(False).alias("on_right"))
     merged = left.unionByName(right).groupBy("star", "bi", "bj", "node", "comp").agg(F.bool_or("on_left").alias("on_left"), F.bool_or("on_right").alias("on_right"))

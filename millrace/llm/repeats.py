@@ -50,6 +50,8 @@ def phrases(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < LENGTH:
         return none, none, none, none, none, none
+    if len(data) >> PLACE:
+        raise ValueError(f"a text has more than {1 << PLACE} bytes")
     prefix = prefix_hashes(data)
     at = np.arange(len(data) - TRIGGER + 1)
     grams = range_hashes(prefix, at, at + TRIGGER)
@@ -208,8 +210,8 @@ def repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
     A byte goes if a 100-byte string over it also starts earlier: in a smaller
     doc_id, or before in the same document. Null texts count as empty. Null ids
     come before all others; rows that share an id are documents of their own, in
-    the order of their texts. ``kept`` has the bytes that stay. An empty table
-    gives no rows.
+    the order of their texts. ``kept`` has the bytes that stay. A text beyond
+    256 MiB is an error. Other columns are not read. An empty table gives no rows.
     """
     rows = _numbered(docs)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(rows))

@@ -13,6 +13,8 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64)
 _powers: dict[int, np.ndarray] = {}
+#: Powers that a worker keeps; only longer texts need more.
+KEPT = (1 << 20) + (1 << 17)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -23,12 +25,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 … base**(n-1) modulo 2**64; kept for the next call."""
+    """base**0 … base**(n-1) modulo 2**64; as many as a step of text needs are kept for the next call."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, 1 << 20), base, np.uint64)
+        have = np.full(max(n, KEPT), base, np.uint64)
         have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
+        have = np.multiply.accumulate(have)
+        _powers[base] = have[:KEPT].copy() if n > KEPT else have
     return have[:n]
 
 
