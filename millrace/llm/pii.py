@@ -29,7 +29,7 @@ from .common import fresh, lean
 EXAMPLES, TREES, DEPTH, RATE, BINS, PRECISION = 6000, 40, 3, 0.3, 32, 0.98
 KINDS = ("email", "ip", "card", "phone", "secret", "national_id", "iban", "local_phone", "spelled_email")
 BASE = KINDS[:4]
-RESULT = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,spans:string,redacted:string>"
+RESULT = "struct<n_email:bigint,n_ip:bigint,n_card:bigint,n_phone:bigint,base_sha256:string,n_spans:bigint,spans:string,redacted:string>"
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -342,9 +342,9 @@ def _finder(trees, redacting: bool):
             t = t.as_py()
             base, every = find(t, trees.value)
             n = Counter(k for _, k, _ in base)
-            rows.append({**{f"n_{name}": n[k] for k, name in enumerate(BASE)}, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "spans": joined(every), "redacted": redact(t, every) if redacting else None})
-        longs, texts = [(f"n_{k}", pa.int64()) for k in BASE], [(k, pa.string()) for k in ("base_sha256", "spans", "redacted")]
-        return pa.array(rows, pa.struct(longs + texts))
+            rows.append({**{f"n_{name}": n[k] for k, name in enumerate(BASE)}, "base_sha256": hashlib.sha256(joined(base).encode()).hexdigest(), "n_spans": len(every), "spans": joined(every), "redacted": redact(t, every) if redacting else None})
+        longs = [(f"n_{k}", pa.int64()) for k in BASE]
+        return pa.array(rows, pa.struct([*longs, ("base_sha256", pa.string()), ("n_spans", pa.int64()), ("spans", pa.string()), ("redacted", pa.string())]))
 
     return run
 
@@ -360,8 +360,13 @@ def scan(docs: DataFrame, redacting: bool = True, column: str = "pii") -> DataFr
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs (doc_id, text, …)."""
-    return scan(docs.select("doc_id", "text"), False).select("doc_id", *(f"pii.n_{k}" for k in BASE), "pii.base_sha256", "pii.spans")
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row of docs (doc_id, text, …).
+
+    A null text counts as empty and has no span; ``n_spans`` counts all spans,
+    base ones and chosen ones. Rows are independent of one another. A very long
+    text costs its length. Other columns are not read. An empty table gives no rows.
+    """
+    return scan(docs.select("doc_id", "text"), False).select("doc_id", *(f"pii.n_{k}" for k in BASE), "pii.base_sha256", "pii.spans", "pii.n_spans")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
