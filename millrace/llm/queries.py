@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lm, media, near, packing, pii, quality, repeats, shards
+from . import decontam, importance, langid, lm, media, mixture, near, negatives, packing, pii, quality, repeats, shards
 from .common import shared_folder
 
 
@@ -63,13 +63,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.importance(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), n=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.mixture(documents(spark, sf_dir), weights=(1, 2, 3), most=3).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), every=50, positives=5, negatives=3, low=50, high=95)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, op11_importance_resampling, op12_source_mixing, op13_hard_negatives, pipeline)}
 SQL: dict[str, str] = {
     "op2_sharding": "select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, sha256(coalesce(text, '')) as text_sha256 from documents",
     "op1_suffix_array_dedup": """
@@ -95,4 +108,53 @@ SQL: dict[str, str] = {
         least as (select doc_id, min(other) as component_id from reach group by doc_id)
         select doc_id, len(s) as n_shingles, component_id, doc_id = component_id as kept from sets join least using (doc_id)
     """,
+    "op11_importance_resampling": """
+        with recursive step as (select i as b, cast(i as ubigint) as c, 0 as k from range(256) t(i)
+            union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end, k + 1 from step where k < 8),
+        tab as (select list(c order by b) as t from step where k = 8),
+        texts as (select 'd' as side, doc_id, coalesce(text, '') as text from documents union all select 'b', null, coalesce(text, '') from benchmark),
+        runs as (select side, doc_id, row_number() over () as r, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from texts),
+        words as (select side, r, unnest(w) as w from runs),
+        bytes as (select w, i, cast('0x' || substr(hex(encode(w)), 2 * i + 1, 2) as ubigint) as x from (select distinct w from words), unnest(range(strlen(w))) u(i)),
+        walk as (select w, list(x order by i) as l from bytes group by w),
+        crc as (select w, 1 as i, 4294967295::ubigint as c, l from walk
+            union all select w, i + 1, xor(c >> 8, t[cast(xor(c, l[i]) & 255 as bigint) + 1]), l from crc, tab where i <= len(l)),
+        buckets as (select w, xor(c, 4294967295::ubigint) % 10000 as b from crc where i = len(l) + 1),
+        held as (select side, r, b from words join buckets using (w)),
+        counts as (select b, count_if(side = 'd') as s, count_if(side = 'b') as t from held group by b),
+        sums as (select count_if(side = 'd') as big_s, count_if(side = 'b') as big_t from held),
+        gains as (select b, cast(floor(1000 * ln(((t + 1) * (big_s + 10000))::double / ((s + 1) * (big_t + 10000))::double)) as bigint) as g from counts, sums),
+        weights as (select r, cast(floor(sum(g)::double / count(*)) as bigint) as weight from held join gains using (b) where side = 'd' group by r),
+        scored as (select doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight,
+            coalesce(weight, 0) + cast(floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8) as ubigint) + 0.5::double) / 4294967296::double))) as bigint) as score
+            from runs left join weights using (r) where side = 'd'),
+        ranked as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as k, count_if(n_features >= 20) over () as n from scored)
+        select doc_id, n_features, weight, score, case when n_features >= 20 and k <= 10 * n // 100 then k end as rank from ranked
+    """,
+    "op12_source_mixing": """
+        with docs as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) as bigint) as size,
+            md5('2024:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as key from documents),
+        per as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) - 1 as number from docs group by source),
+        weighed as (select *, 1 + number % 3 as weight from per),
+        levels as (select *, (sum(source_size) over () - 3 * coalesce(sum(source_size) over closed, 0))::double / (sum(weight) over () - coalesce(sum(weight) over closed, 0))::double as level from weighed
+            window closed as (order by source_size / weight, number rows between unbounded preceding and 1 preceding)),
+        aims as (select *, least(max(level) over () * weight, (3 * source_size)::double) as target, sum(source_size) over () as total from levels),
+        ends as (select *, case when total > 0 then cast(round(sum(target) over (order by number) / total::double * 4294967296) as bigint) else 0 end as high, greatest(1, cast(ceil(total::double / 262144) as bigint)) as block from aims),
+        stretches as (select *, lag(high, 1, 0) over (order by number) as low from ends),
+        slots as (select i as slot, i * 2654435769 % 4294967296 as point from range((select cast(ceil(max(total)::double / max(block)) as bigint) from ends)) t(i)),
+        held as (select number, count(*) as n from slots join stretches on point >= low and point < high group by number),
+        plan as (select s.*, cast(ceil(source_size::double / block) as bigint) as blocks, coalesce(n, 0) as n from stretches s left join held using (number)),
+        full_plan as (select *, least(n // greatest(blocks, 1), 3) as passes, case when n // greatest(blocks, 1) < 3 then n % greatest(blocks, 1) * block else 0 end as rest from plan),
+        placed as (select d.*, p.source_size, p.target, p.passes, p.rest, sum(size) over (partition by p.number order by key, d.doc_id rows unbounded preceding) - size as start from docs d join full_plan p on d.source is not distinct from p.source)
+        select doc_id, size, source_size, target, cast(size * passes + greatest(0, least(start + size, rest) - start) as bigint) as taken from placed
+    """,
+    "op13_hard_negatives": """
+        with raw as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, list_transform(embedding, lambda x: floor(256 * x::double)) as q from embeddings
+            where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        pairs as (select a.r as ar, a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as same, cast(list_inner_product(a.q, b.q) as bigint) as score from raw a join raw b on a.vec_id % 50 = 0 and a.r <> b.r),
+        positives as (select ar, anchor_id, id as positive_id, score as positive_score from pairs where same qualify row_number() over (partition by ar order by score desc, id) <= 5),
+        found as (select p.anchor_id, positive_id, positive_score, n.id as negative_id, n.score as negative_score, row_number() over (partition by p.ar, positive_id order by n.score desc, n.id) as rank
+            from positives p join pairs n on p.ar = n.ar and not n.same and 50 * positive_score <= 100 * n.score and 100 * n.score <= 95 * positive_score)
+        select anchor_id, positive_id, cast(rank as integer) as rank, negative_id, positive_score, negative_score from found where rank <= 3
+    """,
 }
