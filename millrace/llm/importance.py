@@ -17,15 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .common import STEP_BYTES, materialize, text_bytes, text_column, tidy
 
 #: Digits, letters and all bytes beyond ASCII make words; A-Z count as a-z, and every other byte as a blank.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
-FEATURES = "struct<n_words:bigint,n_features:bigint,weight:bigint,score:bigint>"
+FEATURES = ["n_words", "n_features", "weight", "score"]
 
 
 class Ring:
@@ -102,25 +103,27 @@ def noise(doc_id: str, seed: int) -> int:
     return math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296)))
 
 
-def features(doc_id: Column, text: Column, gain: np.ndarray, n: int, seed: int) -> Column:
-    """A struct of number of words and runs, weight and score of a document."""
+def features(docs: DataFrame, gain: np.ndarray, n: int, seed: int) -> DataFrame:
+    """docs (…, id string, text string) with n_words, n_features, weight and score instead of id and text."""
     size = np.uint32(len(gain))
+    kept = docs.columns[:-2]
 
-    @F.arrow_udf(FEATURES)
-    def run(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        rows = []
-        for i, data in zip(ids.to_pylist(), _texts(texts)):
-            ring, words, many, total = Ring(n), 0, 0, 0
-            for some in word_steps(data):
-                words += len(some)
-                for states in ring.feed(some):
-                    many += len(states)
-                    total += int(gain[states % size].sum())
-            weight = total // many if many else 0
-            rows.append((words, many, weight, weight + noise(i, seed)))
-        return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), (), ()))], ["n_words", "n_features", "weight", "score"])
-
-    return run(F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit("")))
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for i, data in zip(batch.column(len(kept)).to_pylist(), _texts(batch.column(len(kept) + 1))):
+                ring, words, many, total = Ring(n), 0, 0, 0
+                for some in word_steps(data):
+                    words += len(some)
+                    for states in ring.feed(some):
+                        many += len(states)
+                        total += int(gain[states % size].sum())
+                weight = total // many if many else 0
+                rows.append((words, many, weight, weight + noise(i, seed)))
+            numbers = [pa.array(c, pa.int64()) for c in (zip(*rows) if rows else ((), (), (), ()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *numbers], [*kept, *FEATURES])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields[:-2], *[T.StructField(c, T.LongType()) for c in FEATURES]]))
 
 
 @tidy
@@ -140,8 +143,8 @@ def importance(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10
     """
     gain = gains(bucket_counts(docs, n, buckets), bucket_counts(target, n, buckets))
     row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []
-    found = docs.select("doc_id", *row, features(F.col("doc_id"), F.col("text"), gain, n, seed).alias("f"))
-    scored = materialize(found.select(*[c for c in found.columns if c != "f"], "f.*"))
+    empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    scored = materialize(features(docs.select("doc_id", *row, empty("doc_id").alias("id"), empty("text").alias("text")), gain, n, seed))
     enough = F.col("n_words") >= least_words
     levels = scored.where(enough).groupBy("score").agg(F.count("*").alias("n")).select("score", F.sum("n").over(W.orderBy(F.desc("score"))).alias("upto"), "n")
     wanted = scored.where(enough).count() * percent // 100
