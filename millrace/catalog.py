@@ -1,6 +1,6 @@
 """Queries on the synthetic tables, with the SQL that gives the same rows.
 
-Each ``r_`` query shows one primitive of the introspection plans at table scale.
+Each ``r_`` query applies an operator of the introspection plans to whole tables.
 """
 
 from __future__ import annotations
@@ -11,13 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .functions.text import after_key, split_lines, strip_space
+from .functions.text import after_first, after_key, split_lines, strip_space
+from .operators.ancestry import nearest_roots
 from .operators.blocks import first_block, identity, last_value
-from .operators.checks import agent_checks
-from .operators.lookup import lookup, lookup_default, topic
+from .operators.checks import agent_checks, fleet, tree_checks
+from .operators.folds import appended, every, first_by, last_by, some, sorted_join, with_any
+from .operators.json_text import with_json
+from .operators.lookup import answered, known_paths, lookup, lookup_default, topic
 from .operators.render import json_record
-from .plans.introspection import ARTIFACTS, VERBS, doctor, overview, topics_frame, whoami
+from .plans.introspection import ARTIFACTS, VERBS, doctor, overview, whoami
+from .session import delete, shared_folder
+from .sinks.split import read_sink, write_split
+from .sources.files import probe, scan
 from .sources.tables import table
+from .sources.trees import locate
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLACES = {"NATION_1": "one", "NATION_2": "two", "NATION_7": "seven"}
@@ -25,7 +32,8 @@ LANGS = {"en": "page-en", "de": "page-de"}
 
 
 def r_lookup(spark, d):
-    return table(spark, d, "nation").where(F.col("n_name") == "NATION_7").select("n_nationkey", "n_name")
+    nation = table(spark, d, "nation").select(F.array("n_name").alias("path"), "n_nationkey", "n_name")
+    return topic(nation, ["NATION_7"]).select("n_nationkey", "n_name")
 
 
 def r_default_lookup(spark, d):
@@ -33,37 +41,35 @@ def r_default_lookup(spark, d):
 
 
 def r_first_block(spark, d):
-    """First event of each user: min_by keeps one row for each user and task, so a hot user is cut before the shuffle."""
-    events = table(spark, d, "events")
-    first = events.groupBy("user_id").agg(F.min_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id")).alias("e"))
-    return first.select("user_id", F.col("e.event_id").alias("event_id"), F.col("e.event_type").alias("event_type"))
+    """First event of each user: one row for each user and task is shuffled, so a hot user is cut before that."""
+    first = table(spark, d, "events").groupBy("user_id").agg(first_by(["ts", "event_id"], "event_id", "event_type").alias("e"))
+    return first.select("user_id", "e.event_id", "e.event_type")
 
 
 def r_last_wins(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("last_type"))
+    last = table(spark, d, "events").groupBy("user_id").agg(last_by(["ts", "event_id"], "event_type").alias("e"))
+    return last.select("user_id", F.col("e.event_type").alias("last_type"))
 
 
 def r_kv_extract(spark, d):
-    return table(spark, d, "events").select("event_id", F.regexp_extract("props", '"k":(.*)[}]', 1).alias("k"))
+    return table(spark, d, "events").select("event_id", F.regexp_replace(after_first(F.col("props"), '"k":'), "[}]$", "").alias("k"))
 
 
 def r_all_any(spark, d):
-    big = F.col("l_quantity") > 49
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.bool_and(F.col("l_quantity") > 0).alias("all_positive"), F.bool_or(big).alias("any_big"), F.count("*").alias("n"))
+    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(every(F.col("l_quantity") > 0).alias("all_positive"), some(F.col("l_quantity") > 49).alias("any_big"), F.count("*").alias("n"))
 
 
 def r_exists(spark, d):
     dear = table(spark, d, "orders").where(F.col("o_totalprice") > 450000)
-    return table(spark, d, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+    return with_any(table(spark, d, "customer"), dear, F.col("c_custkey") == F.col("o_custkey")).select("c_custkey", "c_name")
 
 
 def r_sorted_join(spark, d):
-    return table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_join(F.array_sort(F.collect_list("n_name")), ", ").alias("names"))
+    return table(spark, d, "nation").groupBy("n_regionkey").agg(sorted_join(F.col("n_name")).alias("names"))
 
 
 def r_append(spark, d):
-    count = lambda ord, name: table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(ord).alias("ord"), F.lit(name).alias("name"), "n")
-    return count(1, "nation").unionByName(count(2, "region"))
+    return appended(*[table(spark, d, name).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n") for name in ("nation", "region")])
 
 
 def r_json(spark, d):
@@ -87,8 +93,119 @@ def r_topic(spark, d):
 
 
 def r_topics(spark, d):
-    """Every topic path that the catalogue knows, with its place."""
-    return topics_frame(spark).select("ord", F.array_join("path", " ").alias("path"), F.startswith(F.col("markdown"), F.lit("# ")).alias("titled"))
+    """Every topic path of a catalogue in the order of its entries."""
+    pages = table(spark, d, "nation").select(F.col("n_nationkey").alias("ord"), F.array("n_name").alias("path"), "n_regionkey")
+    return known_paths(pages).select("ord", F.array_join("path", " ").alias("path"))
+
+
+def r_requests(spark, d):
+    """A request for the page of each document's source and language, where every third source has no page."""
+    docs = table(spark, d, "documents")
+    pages = docs.select("source", "lang").distinct().where(F.regexp_extract("source", "[0-9]+", 0).cast("int") % 3 != 0)
+    pages = pages.select(F.array("source", "lang").alias("path"), F.concat_ws("/", "lang", "source").alias("page"))
+    out = answered(docs.select("doc_id", F.array("source", "lang").alias("path")), pages)
+    return out.select("doc_id", F.col("found.page").alias("page"), F.col("error.code").alias("code"), F.col("error.message").alias("message"))
+
+
+def r_split(spark, d):
+    """The same requests as results and errors, written in one pass and read back."""
+    docs = table(spark, d, "documents").select("doc_id", F.array("source", "lang").alias("path"))
+    pages = docs.select("path").distinct().where(F.regexp_extract(F.get("path", F.lit(0)), "[0-9]+", 0).cast("int") % 3 != 0).select("path", F.array_join("path", "/").alias("page"))
+    folder = shared_folder(spark)
+    error = F.when(F.col("error").isNotNull(), F.struct("doc_id", "error.message"))
+    write_split(answered(docs, pages), error, F.struct("doc_id", "found.page"), folder)
+    results, errors = read_sink(spark, folder, "results", "doc_id long, page string"), read_sink(spark, folder, "errors", "doc_id long, message string")
+    return results.select("doc_id", F.lit("results").alias("sink"), F.col("page").alias("value")).unionByName(errors.select("doc_id", F.lit("errors").alias("sink"), F.col("message").alias("value")))
+
+
+def r_nearest(spark, d):
+    """The nearest folder above each document's path that has a source: some sources have one, and some languages within them."""
+    docs = table(spark, d, "documents")
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("int")
+    roots = docs.where(number % 2 == 0).select(F.concat(F.lit("/"), "source").alias("root")).unionByName(docs.where(F.col("lang") == "de").select(F.concat_ws("/", F.lit(""), "source", "lang").alias("root")))
+    starts = docs.select(F.concat_ws("/", F.lit(""), "source", "lang", F.col("doc_id").cast("string")).alias("start"))
+    return nearest_roots(starts, roots)
+
+
+def r_fleet(spark, d):
+    """One verdict over all documents' trees."""
+    files, listing = _listed(spark, d)
+    return fleet(agent_checks(files.select("root"), identity(files, "0", "none"), listing, prompts=LANGS, skills="kit/")).drop("first_message")
+
+
+def r_unsourced(spark, d):
+    """Checks of all documents' trees, where every third has no identity file."""
+    files, listing = _listed(spark, d)
+    found = tree_checks(files.select("root"), identity(files.where(F.col("root").cast("long") % 3 != 0), "0", "none"), listing, prompts=LANGS, skills="kit/")
+    return found.select(F.col("root").cast("long").alias("doc_id"), "healthy", F.array_join(F.transform("checks", lambda c: c["id"]), ",").alias("checks"))
+
+
+def r_json_exact(spark, d):
+    """Each order with its nested fields as JSON text of the command line's form."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", (F.col("o_custkey") % 2 == 0).alias("even"), F.array("o_orderpriority", F.lit('a "b"\\\n')).alias("tags"), F.struct(F.col("o_custkey").alias("c"), F.lit(None).cast("string").alias("none")).alias("who"))
+    return with_json(orders, "js", orders.columns).select("o_orderkey", "js")
+
+
+def _planted(spark, d):
+    """A folder below the shared one with a tree of files for each document, written by the tasks.
+
+    doc_id modulo 5: 0 has no identity file, 1 one that is not UTF-8, others one
+    that names the language; modulo 3: 0 has an empty kit, 1 a kit with an entry.
+    """
+    top = shared_folder(spark)
+
+    def write(batches):
+        import os
+
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(top)
+        for batch in batches:
+            for i, lang in zip(batch["doc_id"].to_pylist(), batch["lang"].to_pylist()):
+                root = f"{base}/t[{i}] {{a,b}}%20"
+                store.create_dir(root)
+                if i % 3 < 2:
+                    store.create_dir(os.path.join(root, "kit"))
+                for name, data, wanted in (("culture.yaml", f"suffix: {lang}\n".encode() + (b"\xff" if i % 5 == 1 else b""), i % 5 > 0), ("kit/.one", b"", i % 3 == 1)):
+                    if wanted:
+                        with store.open_output_stream(f"{root}/{name}") as out:
+                            out.write(data)
+            yield batch.select(["doc_id"])
+
+    docs = table(spark, d, "documents").where("doc_id is not null").select("doc_id", "lang").mapInArrow(write, "doc_id long")
+    docs.write.format("noop").mode("overwrite").save()
+    roots = table(spark, d, "documents").where("doc_id is not null").select("doc_id", F.concat(F.lit(f"{top}/t["), F.col("doc_id").cast("string"), F.lit("] {a,b}%20")).alias("root"))
+    return top, roots
+
+
+def _kept(spark, frame, top):
+    """The rows of a frame over planted files, which are deleted."""
+    folder = shared_folder(spark)
+    frame.write.parquet(folder)
+    delete(spark, [top])
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
+def r_scan(spark, d):
+    """Identity files of trees that tasks have written, some of them missing or broken."""
+    top, roots = _planted(spark, d)
+    found = scan(roots.select("root"), "culture.yaml").join(roots, "root")
+    return _kept(spark, found.select("doc_id", "status", "text"), top)
+
+
+def r_probe(spark, d):
+    """Which of those trees have an identity file, and an entry in their kit."""
+    top, roots = _planted(spark, d)
+    places = roots.select("root", F.explode(F.array(F.lit("culture.yaml"), F.lit("kit/"))).alias("path"))
+    return _kept(spark, probe(places).join(roots, "root").select("doc_id", "path", "found"), top)
+
+
+def r_locate(spark, d):
+    """The nearest identity file at or above a folder within each of those trees: the tree's own, or none."""
+    top, roots = _planted(spark, d)
+    starts = roots.select(F.concat("root", F.lit("/kit/a/b")).alias("start"))
+    found = locate(starts, "culture.yaml").join(roots.select("doc_id", F.concat("root", F.lit("/kit/a/b")).alias("start"), F.col("root").alias("own")), "start")
+    return _kept(spark, found.select("doc_id", F.regexp_replace(F.regexp_replace("root", "^.*/", ""), "^t", "tree ").alias("root")), top)
 
 
 def r_backend(spark, d):
@@ -145,7 +262,7 @@ def r_doctor(spark, d):
     return found.select(F.col("root").cast("long").alias("doc_id"), "healthy", F.array_join(F.transform("checks", lambda c: F.concat(c["id"], F.lit("="), c["passed"].cast("string"))), ",").alias("checks"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (r_lookup, r_default_lookup, r_first_block, r_last_wins, r_kv_extract, r_all_any, r_exists, r_sorted_join, r_append, r_json, r_identity, r_doctor, r_topic, r_topics, r_backend, r_block_lines, r_duplicate_key, r_scalar, r_whoami, r_overview, r_report)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (r_lookup, r_default_lookup, r_first_block, r_last_wins, r_kv_extract, r_all_any, r_exists, r_sorted_join, r_append, r_json, r_identity, r_doctor, r_topic, r_topics, r_requests, r_split, r_nearest, r_fleet, r_unsourced, r_json_exact, r_scan, r_probe, r_locate, r_backend, r_block_lines, r_duplicate_key, r_scalar, r_whoami, r_overview, r_report)}
 
 def _lines(items: list[str]) -> str:
     """SQL for list items, one on a line."""
@@ -168,7 +285,25 @@ SQL: dict[str, str] = {
         c as (select doc_id, lang in ('en', 'de') as known, lang in ('en', 'de') and labelled as page, kit from f)
         select doc_id, page and kit as healthy, case when known then 'prompt_file_present=' || page else 'backend_consistency=false' end || ',skills_present=' || kit as checks from c""",
     "r_topic": "select n_nationkey, n_name from nation where n_name = 'NATION_7'",
-    "r_topics": "select * from (values (0, '', true), (1, 'millrace', true), (2, 'mill', true), (3, 'whoami', true), (4, 'learn', true), (5, 'explain', true), (6, 'overview', true), (7, 'doctor', true), (8, 'cli', true), (9, 'cli overview', true)) t(ord, path, titled)",
+    "r_topics": "select n_nationkey as ord, n_name as path from nation",
+    "r_requests": """with d as (select doc_id, source, lang, cast(regexp_extract(source, '[0-9]+') as integer) % 3 != 0 as known from documents)
+        select doc_id, case when known then lang || '/' || source end as page, case when not known then cast(1 as integer) end as code, case when not known then 'no explain entry for: ' || source || ' ' || lang end as message from d""",
+    "r_split": """with d as (select doc_id, source, lang, cast(regexp_extract(source, '[0-9]+') as integer) % 3 != 0 as known from documents)
+        select doc_id, case when known then 'results' else 'errors' end as sink, case when known then source || '/' || lang else 'no explain entry for: ' || source || ' ' || lang end as value from d""",
+    "r_nearest": """select distinct '/' || source || '/' || lang || '/' || doc_id as start, case when lang = 'de' then '/' || source || '/de' when cast(regexp_extract(source, '[0-9]+') as integer) % 2 = 0 then '/' || source end as root from documents""",
+    "r_fleet": """with f as (select doc_id, d.lang, l.doc_id is not null as labelled, coalesce(toxic = 0, false) as kit from documents d left join labels l using (doc_id)),
+        c as (select doc_id::varchar as root, lang in ('en', 'de') as known, lang in ('en', 'de') and labelled as page, kit from f),
+        v as (select *, page and kit as healthy, case when not known then 'backend_consistency' when not page then 'prompt_file_present' else 'skills_present' end as failing from c)
+        select coalesce(bool_and(healthy), true) as healthy, case when coalesce(bool_and(healthy), true) then 0 else 1 end as exit_code, count(*) as n_trees, count_if(not healthy)::bigint as n_unhealthy,
+            min(root) filter (not healthy) as first_root, arg_min(failing, root) filter (not healthy) as first_check from v""",
+    "r_unsourced": """with f as (select doc_id, d.lang, l.doc_id is not null as labelled, coalesce(toxic = 0, false) as kit from documents d left join labels l using (doc_id)),
+        c as (select doc_id, lang in ('en', 'de') as known, lang in ('en', 'de') and labelled as page, kit from f)
+        select doc_id, doc_id % 3 = 0 or page and kit as healthy, case when doc_id % 3 = 0 then 'source_checkout' when known then 'prompt_file_present,skills_present' else 'backend_consistency,skills_present' end as checks from c""",
+    "r_json_exact": r"""select o_orderkey, '{"o_orderkey": ' || o_orderkey || ', "o_orderstatus": "' || o_orderstatus || '", "even": ' || (o_custkey % 2 = 0)
+        || ', "tags": ["' || o_orderpriority || '", "a \"b\"\\\n"], "who": {"c": ' || o_custkey || ', "none": null}}' as js from orders""",
+    "r_scan": """select doc_id, case doc_id % 5 when 0 then 'unreadable' when 1 then 'undecodable' else 'read' end as status, case when doc_id % 5 > 1 then 'suffix: ' || lang || chr(10) end as text from documents""",
+    "r_probe": """select doc_id, 'culture.yaml' as path, doc_id % 5 > 0 as found from documents union all select doc_id, 'kit/', doc_id % 3 = 1 from documents""",
+    "r_locate": """select doc_id, case when doc_id % 5 > 0 then 'tree [' || doc_id || '] {a,b}%20' end as root from documents""",
     "r_backend": "select n_nationkey, case n_name when 'NATION_1' then 'one' when 'NATION_2' then 'two' when 'NATION_7' then 'seven' end as place from nation",
     "r_block_lines": "select doc_id, '- suffix: ' || chr(39) || source || chr(39) || '|backend: ' || lang || '|model: m:' || n_chars as block from documents",
     "r_duplicate_key": "select doc_id, lang as backend, cast(null as varchar) as model from documents",
@@ -178,10 +313,10 @@ SQL: dict[str, str] = {
         || {_lines([f"{v} — {what}" for v, what in VERBS.items()])} || chr(10) || chr(10) || '## Artifacts' || chr(10) || {_lines(ARTIFACTS)} as as_text from documents""",
     "r_report": """with f as (select doc_id, d.lang, l.doc_id is not null as labelled, coalesce(toxic = 0, false) as kit from documents d left join labels l using (doc_id)),
         c as (select doc_id, lang, lang in ('en', 'de') as known, lang in ('en', 'de') and labelled as page, kit from f)
-        select doc_id, 'none doctor' || chr(10) || chr(10)
-            || case when not known then '[FAIL] backend_consistency: culture.yaml names a backend that has no prompt file: ' || lang || chr(10) || '       hint: known backends: de, en'
+        select doc_id, 'none doctor: ' || case when page and kit then 'healthy' else 'unhealthy' end || chr(10) || chr(10)
+            || case when not known then '[FAIL] backend_consistency: culture.yaml names a backend that has no prompt file: ' || lang || chr(10) || '  hint: known backends: de, en'
                 when page then '[ok] prompt_file_present: prompt file page-' || lang || ' of backend ' || lang || ': found'
-                else '[FAIL] prompt_file_present: prompt file page-' || lang || ' of backend ' || lang || ': not found' || chr(10) || '       hint: add page-' || lang || ' beside culture.yaml' end
-            || chr(10) || case when kit then '[ok] skills_present: skills folder kit/ has entries' else '[FAIL] skills_present: skills folder kit/ has no entry' || chr(10) || '       hint: put at least one skill below kit/' end as as_text,
+                else '[FAIL] prompt_file_present: prompt file page-' || lang || ' of backend ' || lang || ': not found' || chr(10) || '  hint: add page-' || lang || ' beside culture.yaml' end
+            || chr(10) || case when kit then '[ok] skills_present: skills folder kit/ has entries' else '[FAIL] skills_present: skills folder kit/ has no entry' || chr(10) || '  hint: put at least one skill below kit/' end as as_text,
             case when page and kit then 0 else 1 end as exit_code from c""",
 }

@@ -11,9 +11,13 @@ import json
 import sys
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from . import __version__
 
 SOURCE = "culture.yaml"
+#: What an unexpected error asks its reader to do.
+REPORT = "tell the maintainers which command line led here"
 
 
 class UserError(Exception):
@@ -55,34 +59,46 @@ def build_parser() -> argparse.ArgumentParser:
     return parser
 
 
+def show(text: str) -> None:
+    """Print a result, with one line break at its end if it has none."""
+    sys.stdout.write(text if text.endswith("\n") else f"{text}\n")
+
+
 def run(args: argparse.Namespace) -> int:
     from .operators.checks import PROMPT_FILE, SKILLS
-    from .operators.lookup import TopicNotFound, topic
+    from .operators.json_text import with_json
+    from .operators.lookup import HINT, TopicNotFound, resolve
     from .plans import introspection as plans
     from .session import local_session
-    from .sources.trees import nearest_root, read_identity_files, read_listing
+    from .sources import trees
+    from .sources.files import found_paths, readable, scan, scan_errors
 
     spark = local_session()
-    root = nearest_root(str(Path(__file__).parent), SOURCE)
-    files = read_identity_files(spark, f"{root}/{SOURCE}") if root else spark.createDataFrame([("", None)], "root string, text string")
     if args.verb == "explain":
         try:
-            row = topic(plans.topics_frame(spark), args.path).first()
+            row = resolve(with_json(plans.topics_frame(spark), "as_json", ["path", "markdown"]), args.path)
         except TopicNotFound as e:
-            raise UserError(str(e), "run 'millrace explain' for the start page") from None
-        print(json.dumps({"path": row.path, "markdown": row.markdown}, ensure_ascii=False) if args.json else row.markdown)
+            raise UserError(str(e), HINT) from None
+        show(row.as_json if args.json else row.markdown)
         return 0
     if args.verb == "learn":
         row = plans.learn(spark).first()
-        print(json.dumps(row.asDict(recursive=True), ensure_ascii=False) if args.json else "\n".join([f"{row.tool} {row.version}: {row.purpose}", *(f"  {' '.join(c.path)}: {c.summary}" for c in row.commands), f"See {row.explain_pointer}."]))
+        show(row.as_json if args.json else "\n".join([f"{row.tool} {row.version}: {row.purpose}", *(f"  {' '.join(c.path)}: {c.summary}" for c in row.commands), f"See {row.explain_pointer}."]))
         return 0
+    root = trees.nearest_root(str(Path(__file__).parent), SOURCE)
+    roots = spark.createDataFrame([(root or "",)], "root string")
+    files = roots.select("root", F.lit(None).cast("string").alias("text"))
+    if root and args.verb != "cli":
+        scanned = scan(roots, SOURCE)
+        bad = scan_errors(scanned).first()
+        if bad:
+            raise UserError(f"unexpected: UnicodeDecodeError: {bad.root}/{bad.path}: {bad.reason}", REPORT)
+        files = readable(scanned)
     if args.verb == "doctor":
-        roots = files.select("root")
-        listing = read_listing(spark, root, [*PROMPT_FILE.values(), SKILLS]) if root else spark.createDataFrame([], "root string, path string")
-        row = plans.doctor(roots, files if root else files.limit(0), listing).first()
+        row = plans.doctor(roots, files if root else files.limit(0), found_paths(roots, [*PROMPT_FILE.values(), SKILLS])).first()
     else:
         row = {"whoami": lambda: plans.whoami(files), "overview": lambda: plans.overview(files), "cli": lambda: plans.cli_overview(spark)}[args.verb]().first()
-    print(row.as_json if args.json else row.as_text)
+    show(row.as_json if args.json else row.as_text)
     return row.exit_code if args.verb == "doctor" else 0
 
 
@@ -100,5 +116,5 @@ def main(argv: list[str] | None = None) -> int:
         show_error(e, args.json)
         return e.code
     except Exception as e:  # the command line shows no traceback
-        show_error(UserError(f"unexpected: {type(e).__name__}: {e}"), args.json)
+        show_error(UserError(f"unexpected: {type(e).__name__}: {e}", REPORT), args.json)
         return 1

@@ -1,5 +1,5 @@
 """Column functions built from Spark's own expressions."""
 
-from .text import after_key, default_if_empty, split_lines, strip_quotes, strip_space
+from .text import after_first, after_key, default_if_empty, split_lines, strip_quotes, strip_space
 
-__all__ = ["after_key", "default_if_empty", "split_lines", "strip_quotes", "strip_space"]
+__all__ = ["after_first", "after_key", "default_if_empty", "split_lines", "strip_quotes", "strip_space"]

@@ -41,7 +41,12 @@ def default_if_empty(text: Column, default: str) -> Column:
     return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, F.lit(default)).otherwise(text)
 
 
+def after_first(text: Column, separator: str) -> Column:
+    """What follows the first separator, empty if there is none; null stays null."""
+    return F.when(F.contains(text, F.lit(separator)), F.substring(text, F.locate(separator, text) + F.length(F.lit(separator)), F.length(text))).when(text.isNotNull(), F.lit(""))
+
+
 def after_key(line: Column, key: str, default: str = "unknown") -> Column:
     """Value behind the first ``key:`` of a line, trimmed and unquoted; empty gives the default, null stays null."""
-    tail = F.regexp_extract(line, f"(?s){key}:(.*)", 1)
+    tail = after_first(line, f"{key}:")
     return F.when(line.isNotNull(), default_if_empty(strip_quotes(strip_space(tail)), default))

@@ -13,11 +13,12 @@ def json_record(*fields: Column | str) -> Column:
     return F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
 
 
-def checks_text(title: str, checks: Column) -> Column:
-    """Title, blank line, then a line for each check and a hint below a failed one."""
+def checks_text(title: str, healthy: Column, checks: Column) -> Column:
+    """Title and status, blank line, then a line for each check and a hint below a failed one."""
     line = lambda c: F.concat(F.when(c["passed"], F.lit("[ok] ")).otherwise(F.lit("[FAIL] ")), c["id"], F.lit(": "), c["message"])
-    hint = lambda c: F.when(~c["passed"] & (F.length(c["remediation"]) > 0), F.concat(F.lit("\n       hint: "), c["remediation"])).otherwise(F.lit(""))
-    return F.concat(F.lit(f"{title}\n\n"), F.array_join(F.transform(checks, lambda c: F.concat(line(c), hint(c))), "\n"))
+    hint = lambda c: F.when(~c["passed"] & (F.length(c["remediation"]) > 0), F.concat(F.lit("\n  hint: "), c["remediation"])).otherwise(F.lit(""))
+    status = F.when(healthy, F.lit("healthy")).otherwise(F.lit("unhealthy"))
+    return F.concat(F.lit(f"{title}: "), status, F.lit("\n\n"), F.array_join(F.transform(checks, lambda c: F.concat(line(c), hint(c))), "\n"))
 
 
 def sections_text(subject: Column, sections: Column) -> Column:

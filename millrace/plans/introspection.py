@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..operators.blocks import identity
 from ..operators.checks import agent_checks
-from ..operators.render import checks_text, json_record, sections_text
+from ..operators.json_text import with_json
+from ..operators.render import checks_text, sections_text
 
 NICK = "millrace"
 VERBS = {
@@ -54,13 +55,14 @@ def whoami(files: DataFrame, version: str = __version__, nick: str = NICK) -> Da
     found = identity(files, version, nick)
     line = lambda k: F.concat(F.lit(f"{k}: "), F.col(k))
     keys = ["nick", "version", "backend", "model"]
-    return found.withColumns({"as_text": F.concat_ws("\n", *map(line, keys)), "as_json": json_record(*keys)})
+    return with_json(found.withColumn("as_text", F.concat_ws("\n", *map(line, keys))), "as_json", keys)
 
 
 def doctor(roots: DataFrame, files: DataFrame, listing: DataFrame, version: str = __version__, nick: str = NICK, **rules) -> DataFrame:
     """Checks of each root, with the rendered report and the exit code."""
     report = agent_checks(roots, identity(files, version, nick), listing, **rules)
-    return report.withColumns({"as_text": checks_text(f"{nick} doctor", F.col("checks")), "as_json": json_record("healthy", "checks"), "exit_code": F.when(F.col("healthy"), 0).otherwise(1)})
+    report = report.withColumns({"as_text": checks_text(f"{nick} doctor", F.col("healthy"), F.col("checks")), "exit_code": F.when(F.col("healthy"), 0).otherwise(1)})
+    return with_json(report, "as_json", ["healthy", "checks"])
 
 
 def _section(title: str, items) -> F.Column:
@@ -74,7 +76,7 @@ def overview(files: DataFrame, version: str = __version__, nick: str = NICK) ->
     verbs = [F.lit(f"{v} — {what}") for v, what in VERBS.items()]
     sections = F.array(_section("Identity", F.array(*rows)), _section("Verbs", F.array(*verbs)), _section("Artifacts", F.array(*map(F.lit, ARTIFACTS))))
     out = ident.select("root", F.lit(nick).alias("subject"), sections.alias("sections"))
-    return out.withColumns({"as_text": sections_text(F.col("subject"), F.col("sections")), "as_json": json_record("subject", "sections")})
+    return with_json(out.withColumn("as_text", sections_text(F.col("subject"), F.col("sections"))), "as_json", ["subject", "sections"])
 
 
 def cli_overview(spark: SparkSession, nick: str = NICK) -> DataFrame:
@@ -83,17 +85,18 @@ def cli_overview(spark: SparkSession, nick: str = NICK) -> DataFrame:
     listed = F.concat(F.array(*verbs), F.array(F.lit("cli overview — describe the command line")))
     sections = F.array(_section("Verbs", listed), _section("Conventions", F.array(*map(F.lit, CONVENTIONS))))
     out = spark.range(1).select(F.lit(f"{nick} cli").alias("subject"), sections.alias("sections"))
-    return out.withColumns({"as_text": sections_text(F.col("subject"), F.col("sections")), "as_json": json_record("subject", "sections")})
+    return with_json(out.withColumn("as_text", sections_text(F.col("subject"), F.col("sections"))), "as_json", ["subject", "sections"])
 
 
 def learn(spark: SparkSession, version: str = __version__, nick: str = NICK) -> DataFrame:
-    """One row that describes the tool: tool, version, purpose, commands, exit_codes, json_support, explain_pointer."""
+    """One row that describes the tool: tool, version, purpose, commands, exit_codes, json_support, explain_pointer, as_json."""
     commands = F.array(*[F.struct(F.array(F.lit(v)).alias("path"), F.lit(what).alias("summary")) for v, what in VERBS.items()])
     codes = F.create_map(*map(F.lit, ["0", "success", "1", "user error", "2", "environment error"]))
-    return spark.range(1).select(
+    row = spark.range(1).select(
         F.lit(nick).alias("tool"), F.lit(version).alias("version"), F.lit("Identity, checks and corpus preparation on Spark.").alias("purpose"),
         commands.alias("commands"), codes.alias("exit_codes"), F.lit(True).alias("json_support"), F.lit(f"{nick} explain <topic>").alias("explain_pointer"),
     )
+    return with_json(row, "as_json", row.columns)
 
 
 def topics_frame(spark: SparkSession) -> DataFrame:

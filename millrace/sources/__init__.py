@@ -1,6 +1,7 @@
-"""Readers: whole identity files and path listings, by any path that Spark's readers open."""
+"""Readers: identity files by pattern or by table of places, probes of files and folders, Parquet tables."""
 
-from .trees import nearest_root, read_identity_files, read_listing
+from .files import found_paths, probe, readable, scan, scan_errors
 from .tables import table
+from .trees import locate, nearest_root, read_identity_files
 
-__all__ = ["nearest_root", "read_identity_files", "read_listing", "table"]
+__all__ = ["found_paths", "locate", "nearest_root", "probe", "read_identity_files", "readable", "scan", "scan_errors", "table"]

@@ -1,4 +1,4 @@
-"""Source trees: one identity file for each root, and the paths that lie below the roots."""
+"""Source trees: one identity file for each root."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ancestry import ancestors, nearest_roots
+from .files import probe
+
 
 def nearest_root(start: str, name: str) -> str | None:
     """Nearest folder at or above ``start`` that holds a regular file ``name``; None if there is none."""
@@ -14,31 +17,21 @@ def nearest_root(start: str, name: str) -> str | None:
     return next((str(p) for p in (at, *at.parents) if (p / name).is_file()), None)
 
 
-def read_identity_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(root, text): each file is one row, read whole, so that no line order is lost; bytes that are not UTF-8 are an error."""
-    return spark.read.format("binaryFile").load(paths).select(
-        F.regexp_replace("path", "/[^/]*$", "").alias("root"), F.validate_utf8(F.col("content").cast("string")).alias("text")
-    )
+def locate(starts: DataFrame, name: str) -> DataFrame:
+    """(start, root) for each distinct start of starts (start): the nearest folder at or above it with a regular file ``name``, null if there is none.
 
+    Every folder on the way is looked at once, whatever the number of starts below it.
+    """
+    folders = starts.select(F.explode(ancestors(F.col("start"))).alias("root")).distinct()
+    held = probe(folders.withColumn("path", F.lit(name))).where("found").select("root")
+    return nearest_roots(starts, held)
 
-def read_listing(spark: SparkSession, roots: str, wanted: list[str]) -> DataFrame:
-    """(root, path) of the wanted paths that exist below the roots, which may be a glob.
 
-    A path that ends in a slash asks for an entry of that folder, any other one
-    for a regular file. Only the wanted places are looked up, in the file system
-    itself, so names that Spark's readers skip (those with a leading dot or
-    underscore) count too. Contents are not read.
+def read_identity_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """(root, text) of the files that path patterns match: each file is one row, read whole; bytes that are not UTF-8 are an error.
+
+    Patterns are those of Spark's readers; ``scan`` takes places literally and goes on past what it can't read.
     """
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    base = path(roots.rstrip("/") or "/")
-    fs = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = set()
-    for want in wanted:
-        for status in fs.globStatus(path(base, want + "*" if want.endswith("/") else want)) or []:
-            if want.endswith("/") or status.isFile():
-                full = status.getPath().toString()
-                root = full
-                for _ in range(len(want.strip("/").split("/")) + want.endswith("/")):
-                    root = root.rsplit("/", 1)[0]
-                found.add((root, want + full.rsplit("/", 1)[1] if want.endswith("/") else want))
-    return spark.createDataFrame(sorted(found), "root string, path string")
+    return spark.read.format("binaryFile").load(paths).select(
+        F.regexp_replace("path", "/[^/]*$", "").alias("root"), F.validate_utf8(F.col("content").cast("string")).alias("text")
+    )

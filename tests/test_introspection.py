@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace import cli
 from millrace.functions.text import split_lines, strip_space
-from millrace.operators import TopicNotFound, topic
+from millrace.operators import TopicNotFound, resolve
 from millrace.plans import TOPICS, doctor, topics_frame, whoami
 from millrace.plans.introspection import cli_overview, overview
-from millrace.sources import read_identity_files, read_listing
+from millrace.sources import found_paths, read_identity_files
 
 CASES = {
     "second": ("- suffix: a\nbackend: x\n- suffix: b\nbackend: y", "a", "x", "unknown"),
@@ -54,9 +54,9 @@ def test_doctor(spark):
 def test_topics_and_overview(spark):
     frame = topics_frame(spark)
     for path in TOPICS:
-        assert topic(frame, list(path)).first().markdown.startswith("#")
+        assert resolve(frame, list(path)).markdown.startswith("#")
     with pytest.raises(TopicNotFound, match="no explain entry for: nothing"):
-        topic(frame, ["nothing"])
+        resolve(frame, ["nothing"])
     text = overview(spark.createDataFrame([("r", "suffix: a")], "root string, text string")).first().as_text
     assert text.startswith("# millrace\n\n## Identity\n- nick: a") and text == text.rstrip()
     assert "cli overview" in cli_overview(spark).first().as_text
@@ -88,7 +88,7 @@ def test_doctor_on_real_trees(spark, tmp_path, monkeypatch, capsys):
     monkeypatch.setattr("millrace.sources.trees.nearest_root", lambda *_: str(bare))
     assert cli.main(["doctor"]) == 1 and "[FAIL] prompt_file_present" in capsys.readouterr().out
     files = read_identity_files(spark, f"{tmp_path}/*/culture.yaml")
-    listing = read_listing(spark, f"{tmp_path}/*", ["CLAUDE.md", ".claude/skills/"])
+    listing = found_paths(files.select("root"), ["CLAUDE.md", ".claude/skills/"])
     got = {r.root.rsplit("/", 1)[1]: r.healthy for r in doctor(files.select("root"), files, listing).collect()}
     assert got == {"good": True, "none": False, "flat": False, "bare": False}
     monkeypatch.setattr("millrace.sources.trees.nearest_root", lambda *_: None)
@@ -138,5 +138,5 @@ def test_queries_match_sql(spark):
         want = con.sql(SQL[name])
         cols = sorted(got.columns)
         assert cols == sorted(want.columns), name
-        norm = lambda rows: sorted(tuple(round(x, 6) if isinstance(x, float) and not math.isnan(x) else x for x in r) for r in rows)
+        norm = lambda rows: sorted((tuple(round(x, 6) if isinstance(x, float) and not math.isnan(x) else x for x in r) for r in rows), key=str)
         assert norm(got.select(cols).collect()) == norm(want.select(*cols).fetchall()), name
