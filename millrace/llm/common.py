@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import functools
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
@@ -14,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import delete, shared_folder
+
 #: Bytes of text that one step of a Python task works on; a longer text is a step of its own.
 STEP_BYTES = 1 << 20
 
@@ -24,20 +24,6 @@ SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Without that setting a folder of this machine is taken in a local session;
-    on a cluster that is an error, since executors would not see one another's files.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp()}"
-    return f"{base.rstrip('/')}/millrace-{uuid.uuid4().hex}"
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]):
     """Session settings for a while."""
@@ -67,14 +53,6 @@ def materialize(frame: DataFrame) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
-def delete(spark: SparkSession, folders: list[str]) -> None:
-    """Delete folders of the shared file system."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    for folder in folders:
-        at = path(folder)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """An operator whose result is written too, after which the tables between its steps are deleted."""
 
@@ -83,10 +61,11 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         own: list[str] = []
         outer = _written.set(own)
         try:
-            out = operator(lean(docs), *args, **kwargs)
-            _written.reset(outer)
-            outer = None
-            return materialize(out)
+            with settings(docs.sparkSession, SETTINGS):
+                out = operator(docs, *args, **kwargs)
+                _written.reset(outer)
+                outer = None
+                return materialize(out)
         finally:
             if outer is not None:
                 _written.reset(outer)

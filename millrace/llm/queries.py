@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontam, importance, langid, lm, media, mixture, near, negatives, packing, pii, quality, repeats, shards
-from .common import shared_folder
+from .common import delete, materialize, shared_folder
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,9 +26,12 @@ def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row as it is read back after twelve arrivals, eight of a tenth of the documents each and four of a twentieth, and their compaction."""
-    part = F.pmod(F.xxhash64(F.col("doc_id")), F.lit(20))
+    part = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("long") % 20
     arrival = F.when(part < 16, F.floor(part / 2)).otherwise(part - 8)
-    return shards.sharded(documents(spark, sf_dir), shared_folder(spark), arrival, target_bytes=32 << 20).select("doc_id", "n_bytes", "text_sha256")
+    folder = shared_folder(spark)
+    out = materialize(shards.sharded(documents(spark, sf_dir), folder, arrival, target_bytes=32 << 20).select("doc_id", "n_bytes", "text_sha256", "arrival_rows", "table_rows"))
+    delete(spark, [folder])
+    return out
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +87,11 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_suffix_array_dedup, op2_sharding, op3_language_id, op4_benchmark_decontamination, op5_best_fit_packing, op6_lm_scoring, op7_quality_classifier, op8_minhash_near_dedup, op9_media_columns, op10_pii, op11_importance_resampling, op12_source_mixing, op13_hard_negatives, pipeline)}
 SQL: dict[str, str] = {
-    "op2_sharding": "select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, sha256(coalesce(text, '')) as text_sha256 from documents",
+    "op2_sharding": """
+        with parts as (select *, cast('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 8) as bigint) % 20 as part from documents),
+        arrivals as (select *, case when part < 16 then part // 2 else part - 8 end as arrival from parts)
+        select doc_id, cast(strlen(coalesce(text, '')) as bigint) as n_bytes, sha256(coalesce(text, '')) as text_sha256, count(*) over (partition by arrival) as arrival_rows, count(*) over () as table_rows from arrivals
+    """,
     "op1_suffix_array_dedup": """
         with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
         bytes as (select doc_id, i, substr(h, 2 * i + 1, 2) as x, case when i + 100 <= n then md5(substr(h, 2 * i + 1, 200)) end as w from d, unnest(range(n)) as u(i)),

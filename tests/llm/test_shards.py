@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import threading
 
 import duckdb
 import pytest
@@ -79,7 +80,7 @@ def test_vacuum_leaves_a_writer_in_flight_alone(spark, monkeypatch):
         other.append(rows(spark, 10, 15))
     monkeypatch.undo()
     assert other.append(rows(spark, 10, 15)) == 4 and one.read().count() == 15
-    slow = other._batch()
+    slow = other._batch(9)
     rows(spark, 15, 20).write.parquet(f"{folder}/data/{slow}")  # written, not committed
     one.vacuum()
     assert spark.read.parquet(f"{folder}/data/{slow}").count() == 5
@@ -88,6 +89,95 @@ def test_vacuum_leaves_a_writer_in_flight_alone(spark, monkeypatch):
     assert len(one._fs.listStatus(path(f"{folder}/manifests"))) == 1
 
 
+def between(monkeypatch, who, act, times=1):
+    """Let another writer act between a merge's reading and its commit."""
+    commit, left = ShardTable._commit, [times]
+
+    def late(self, entries, schema, version):
+        if self is who and left[0]:
+            left[0] -= 1
+            act()
+        return commit(self, entries, schema, version)
+
+    monkeypatch.setattr(ShardTable, "_commit", late)
+
+
+@pytest.mark.parametrize("other_compacts", [False, True])
+def test_a_commit_between_reading_and_writing_is_not_lost(spark, monkeypatch, other_compacts):
+    folder = shared_folder(spark)
+    one, other = ShardTable(spark, folder, fan_in=2), ShardTable(spark, folder, fan_in=2)
+    one.append(rows(spark, 0, 10))
+    one.append(rows(spark, 10, 20))
+    between(monkeypatch, one, lambda: other.compact() if other_compacts else other.append(rows(spark, 20, 30)))
+    one.compact()
+    assert sorted(r.doc_id for r in one.read().collect()) == list(range(20 if other_compacts else 30))
+    assert one.manifest().select("run").distinct().count() == 1
+
+
+def test_a_merge_gives_up_and_leaves_the_table_as_it_is(spark, monkeypatch):
+    folder = shared_folder(spark)
+    one, other = ShardTable(spark, folder, fan_in=2), ShardTable(spark, folder, fan_in=9)
+    one.append(rows(spark, 0, 10))
+    one.append(rows(spark, 10, 20))
+    low = [20]
+
+    def act():
+        other.append(rows(spark, low[0], low[0] + 1))
+        low[0] += 1
+
+    between(monkeypatch, one, act, 99)
+    with pytest.raises(Conflict):
+        one.compact(attempts=2)
+    monkeypatch.undo()
+    assert sorted(r.doc_id for r in one.read().collect()) == list(range(22)) and one.compact() is not None
+    assert one.vacuum(grace=0) >= 2 and sorted(r.doc_id for r in one.read().collect()) == list(range(22))
+
+
+def test_appends_keep_their_files_behind_another_commit(spark, monkeypatch):
+    folder = shared_folder(spark)
+    one, other = ShardTable(spark, folder), ShardTable(spark, folder)
+    one.append(rows(spark, 0, 5))
+    between(monkeypatch, one, lambda: other.append(rows(spark, 5, 10)))
+    assert one.append(rows(spark, 10, 15), attempts=2) == 3 and sorted(r.doc_id for r in one.read().collect()) == list(range(15))
+
+
+def test_threads_append_and_compact(spark):
+    folder, errors = shared_folder(spark), []
+    ShardTable(spark, folder, fan_in=3).append(rows(spark, 0, 1).coalesce(1))
+
+    def appends():
+        t = ShardTable(spark, folder, fan_in=3)
+        for k in range(1, 13):
+            t.append(rows(spark, k, k + 1).coalesce(1), attempts=100)
+
+    def compacts(stop):
+        t = ShardTable(spark, folder, fan_in=3)
+        while not stop.is_set():
+            try:
+                t.compact()
+            except Conflict:
+                pass
+
+    def safe(f, *a):
+        try:
+            f(*a)
+        except Exception as e:  # a thread's error is the test's
+            errors.append(e)
+
+    stop = threading.Event()
+    merger, writers = threading.Thread(target=safe, args=(compacts, stop)), [threading.Thread(target=safe, args=(appends,))]
+    for t in [merger, *writers]:
+        t.start()
+    for t in writers:
+        t.join()
+    stop.set()
+    merger.join()
+    assert not errors
+    got = ShardTable(spark, folder, fan_in=3)
+    got.compact()
+    assert sorted(r.doc_id for r in got.read().collect()) == list(range(13)) and sum(r.n_rows for r in got.manifest().collect()) == 13
+
+
 def test_conflict(spark):
     t = ShardTable(spark, shared_folder(spark))
     t.append(rows(spark, 0, 5))
@@ -117,5 +207,6 @@ def test_edges(spark):
     data = [(None, None, None, None), (1, "", 1, "x"), (2, "é" * 100_000, None, None), (2, "é" * 100_000, None, None)]
     docs = spark.createDataFrame(data, schema)
     got = sharded(docs, shared_folder(spark), F.col("doc_id")).collect()
-    assert sorted(r.n_bytes for r in got) == [0, 0, 200_000, 200_000]
+    assert sorted(r.n_bytes for r in got) == [0, 0, 200_000, 200_000] and {r.table_rows for r in got} == {4}
+    assert sorted((r.doc_id or 0, r.arrival_rows) for r in got) == [(0, 1), (1, 1), (2, 2), (2, 2)]
     assert sharded(docs.limit(0), shared_folder(spark), F.col("doc_id")).count() == 0
