@@ -9,13 +9,13 @@ occur as they are, and those of few words between word borders.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
+import regex as re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +23,14 @@ from .common import fresh, lean, materialize, text_column
 
 #: One error for so many characters of the normalised item.
 CHARS_PER_ERROR = 16
-#: Items of fewer characters are not searched: a single letter is in nearly every text.
+#: Items of fewer characters are not searched unless the caller asks for it: a single letter is in nearly every text.
 MIN_CHARS = 2
+#: Texts of these characters alone are their own compatibility form but for what becomes a blank: ASCII, letters of Western and Central Europe, common punctuation.
+PLAIN = "\\x00-\\x7f\u00a0-\u00a7\u00a9\u00ab\u00ac\u00ae\u00b0\u00b1\u00b6\u00b7\u00bb\u00bf-\u012f\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u2013\u2014\u2018-\u201e\u2022\u20ac"
+#: Characters without width that stand within words: soft hyphen, joiners, byte order mark.
+_NO_WIDTH = re.compile("[\u00ad\u200c\u200d\u2060\ufeff]")
+#: A letter or digit, and what follows of letters, digits and marks; a mark without a letter counts for nothing.
+_WORD = re.compile("[\\p{L}\\p{N}][\\p{L}\\p{N}\\p{M}]*")
 #: An item without room for an error must stand between word borders, unless it has so many words.
 BORDER_WORDS = 5
 #: Letters of scripts that are written without blanks: Thai to Myanmar, Khmer, kana, Han. Next to them a word may start or end anywhere.
@@ -34,9 +40,26 @@ BLOCK_CHARS = 4_000_000
 MATCHES = "array<struct<item_id:bigint,distance:int,match_start:int,match_end:int>>"
 
 
-def normalised(text: Column) -> Column:
-    """Lower case, with one blank for each run of anything but letters and digits."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^\\p{L}\\p{N}]+", " "))
+def normal_form(text: str) -> str:
+    """Compatibility form in lower case, with one blank between words of letters, digits and marks.
+
+    Composed, decomposed and compatibility forms of a text are equal in it. Marks
+    that don't compose, such as vowel signs, are kept with their letters.
+    """
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
+        text = unicodedata.normalize("NFKC", text)
+    lower = text.lower()
+    if not lower.isascii() and not unicodedata.is_normalized("NFKC", lower):
+        lower = unicodedata.normalize("NFKC", lower)
+    return " ".join(_WORD.findall(_NO_WIDTH.sub("", lower)))
+
+
+def prepared(text: Column) -> Column:
+    """A struct of the text and whether it is in normal form: plain texts are brought there by the engine, others where they are searched."""
+    text = F.coalesce(text, F.lit(""))
+    plain = ~text.rlike(f"[^{PLAIN}]")
+    done = F.trim(F.regexp_replace(F.lower(text), "[^\\p{L}\\p{N}]+", " "))
+    return F.struct(F.when(plain, done).otherwise(text).alias("text"), plain.alias("done"))
 
 
 def best_match(pattern: str, masks: dict[str, int], text: str, most: int) -> tuple[int, int] | None:
@@ -134,45 +157,50 @@ class Block:
         return [{"item_id": self.items[k][0], "distance": d, "match_start": a, "match_end": b} for k, (d, a, b) in sorted(best.items())]
 
 
-def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[Block]:
+def blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> Iterator[Block]:
     """Items of benchmark (item_id, text) in blocks of a bounded size, one at a time; one without items at least.
 
-    Null ids and texts, and items with fewer than MIN_CHARS letters or digits, are left out.
+    Null ids and texts, and items with fewer than ``min_chars`` characters in normal form, are left out.
     """
-    items = benchmark.where("item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), normalised(F.col("text")).alias("t")).where(F.length("t") >= MIN_CHARS).distinct()
+
+    @F.arrow_udf("string")
+    def normal(texts: pa.Array) -> pa.Array:
+        return pa.array([normal_form(t.as_py()) for t in texts], pa.string())
+
+    items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), normal("text").alias("t"))
+    items = materialize(items.where(F.length("t") >= max(1, min_chars)).distinct())
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     parts = int(total // block_chars) + 1
-    if parts > 1:
-        items = materialize(items)
     for k in range(parts):
         rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(parts)) == k).orderBy("item_id", "t").collect()  # about block_chars characters
-        yield Block([(r.item_id, unicodedata.normalize("NFC", r.t)) for r in rows])
+        yield Block([(r.item_id, r.t) for r in rows])
 
 
 def _searcher(block):
-    """Arrow function of a broadcast block."""
+    """Arrow function of a broadcast block over ``prepared`` texts."""
 
     @F.arrow_udf(MATCHES)
-    def run(text: pa.Array) -> pa.Array:
+    def run(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("match_start", pa.int32()), ("match_end", pa.int32())]))
-        return pa.array([block.value.search(unicodedata.normalize("NFC", t.as_py())) for t in text], kind)
+        rows = zip(texts.field("text"), texts.field("done"))
+        return pa.array([block.value.search(t.as_py() if done.as_py() else normal_form(t.as_py())) for t, done in rows], kind)
 
     return run
 
 
-def _each_block(docs: DataFrame, benchmark: DataFrame, block_chars: int, apply: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
+def _each_block(docs: DataFrame, benchmark: DataFrame, block_chars: int, min_chars: int, apply: Callable[[DataFrame, Column], DataFrame]) -> DataFrame:
     """apply(docs, matches of a block) for one block after another; a block is released before the next one is collected."""
     held = None
-    for block in blocks(benchmark, block_chars):
+    for block in blocks(benchmark, block_chars, min_chars):
         if held is not None:
             docs = materialize(docs)
             held.unpersist()
         held = lean(docs).sparkSession.sparkContext.broadcast(block)
-        docs = apply(docs, _searcher(held)(normalised(F.col("text"))))
+        docs = apply(docs, _searcher(held)(prepared(F.col("text"))))
     return docs
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with an array of the benchmark items found in each text, by item; offsets count characters of the normalised text.
 
     The new column replaces one of its name; the others stay as they are.
@@ -180,10 +208,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, column: str = "matches", bloc
     def add(frame: DataFrame, found: Column) -> DataFrame:
         return frame.withColumn(column, F.array_sort(F.concat(column, found)))
 
-    return _each_block(docs.withColumn(column, F.expr(f"cast(array() as {MATCHES})")), benchmark, block_chars, add)
+    return _each_block(docs.withColumn(column, F.expr(f"cast(array() as {MATCHES})")), benchmark, block_chars, min_chars, add)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, item_id, distance, match_start, match_end): one row for each document and item found in it.
 
     Documents are whole texts, however long; null and empty texts match nothing.
@@ -191,15 +219,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS)
     item with the same distance one is given. Other columns are not read. An
     empty table on either side gives no rows.
     """
-    found = matches(text_column(docs, "doc_id"), benchmark, "matches", block_chars)
+    found = matches(text_column(docs, "doc_id"), benchmark, "matches", block_chars, min_chars)
     return found.select("doc_id", F.inline("matches"))
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of docs without any benchmark item, with their columns as they are; rows with a null or empty text stay."""
     found = fresh(docs, "found")
 
     def drop(frame: DataFrame, hits: Column) -> DataFrame:
         return frame.withColumn(found, F.size(hits)).where(F.col(found) == 0).drop(found)
 
-    return _each_block(docs, benchmark, block_chars, drop)
+    return _each_block(docs, benchmark, block_chars, min_chars, drop)

@@ -1,7 +1,9 @@
 import random
 import re
+import unicodedata
 
 import duckdb
+from pyspark.sql import functions as F
 
 from millrace.llm import decontam
 from millrace.llm.queries import op4_benchmark_decontamination
@@ -27,9 +29,9 @@ def distance_within(pattern, text):
 
 def test_myers_matches_dynamic_programming():
     rng = random.Random(3)
-    for _ in range(200):
-        p = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90)))
-        t = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 120)))
+    for k in range(10_000):
+        p = "".join(rng.choice("abc") for _ in range(rng.randrange(1, 90 if k < 200 else 25)))
+        t = "".join(rng.choice("abc") for _ in range(rng.randrange(0, 120 if k < 200 else 35)))
         got = decontam.best_match(p, decontam._masks(p), t, len(p))
         assert (got[0] if got else len(p)) == distance_within(p, t)
 
@@ -111,3 +113,41 @@ def test_edges(spark):
     kept = decontam.clean(clash, items)
     assert kept.columns == clash.columns and {(r.found, r.found_, r._leaks) for r in kept.collect()} == {(7, 8, 9)}
     assert decontam.matches(docs, items).columns == docs.columns
+
+
+def test_forms_of_a_text_find_one_another(spark):
+    german = "Die Fußgänger überqueren die Straße hinter dem großen Möbelhaus während es regnet"
+    hindi, other = "हिन्दी में लिखा हुआ एक छोटा सा वाक्य है", "हन्द मे लख हआ एक छट स वकय ह"  # the same consonants without their vowel signs
+    thai, tone = "นี่คือประโยคสั้นๆที่เขียนเป็นภาษาไทย", "นคอประโยคสนๆทเขยนเปนภาษาไทย"
+    wide = "Large models ﬁnd ﬂawed eﬃcient ｆｕｌｌ ｗｉｄｔｈ ½ letters"
+    texts = [german, hindi, other, thai, tone, wide]
+    forms = lambda t: {unicodedata.normalize(f, t) for f in ("NFC", "NFD", "NFKC", "NFKD")} | {t.upper() if t == german.replace("ß", "ss") else t}
+    items = [(k, t) for k, t in enumerate(texts)]
+    docs = [(k, "… xyz " + form + " qrs ´") for k, t in enumerate(texts) for form in sorted(forms(t))]
+    docs += [(0, german.replace("ä", "ä\u00ad")), (1, hindi.replace("न्", "न्\u200d"))]
+    b, f = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r.doc_id, r.item_id) for r in decontam.leaks(f, b).collect() if r.distance == 0]
+    assert sorted(got) == sorted((d, d) for d, _ in docs)
+    for k, items_as in enumerate(("NFD", "NFKD")):
+        b = spark.createDataFrame([(i, unicodedata.normalize(items_as, t)) for i, t in items], "item_id long, text string")
+        assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(f, b).collect() if r.distance == 0) == sorted(got)
+    assert all(i == d for d, i in {(r.doc_id, r.item_id) for r in decontam.leaks(f, b).collect()})  # no vowel signs, no match within the errors either
+
+
+def test_the_engine_and_python_agree_on_plain_texts(spark):
+    rng = random.Random(8)
+    pool = [chr(c) for c in range(1, 0x2200) if not 0xD800 <= c < 0xE000]
+    latin = [chr(c) for c in range(1, 0x180)] + list("–—‘’“”„•€")
+    texts = ["".join(rng.choice(latin if k % 2 else pool) for _ in range(30)) for k in range(3000)] + [f"a{c}b {c}C" for c in pool]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", decontam.prepared(F.col("text")).alias("p")).collect()
+    assert sum(r.p.done for r in rows) > 300
+    for r in rows:
+        assert (r.p.text if r.p.done else decontam.normal_form(r.p.text)) == decontam.normal_form(r.text), r.text.encode("unicode_escape")
+
+
+def test_single_characters_on_request(spark):
+    b = spark.createDataFrame([(1, "x"), (2, "字"), (3, "-"), (4, "")], "item_id long, text string")
+    f = spark.createDataFrame([(1, "an x here"), (2, "ax"), (3, "漢字 list"), (4, "-")], "doc_id long, text string")
+    assert decontam.leaks(f, b).count() == 0
+    assert sorted((r.doc_id, r.item_id) for r in decontam.leaks(f, b, min_chars=1).collect()) == [(1, 1), (3, 2)]
+    assert sorted(r.doc_id for r in decontam.clean(f, b, min_chars=1).collect()) == [2, 4]
