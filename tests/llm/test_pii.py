@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -50,6 +51,32 @@ def test_trees_separate_examples():
     assert (y[chosen] > 0).mean() > 0.95 and chosen[y > 0].mean() > 0.9
 
 
+def test_templates_that_training_has_not_seen():
+    by_kind = pii.quality_by_kind(pii.model())
+    assert set(by_kind) == set(pii.KINDS[4:])
+    for kind, (threshold, precision, recall) in by_kind.items():
+        assert threshold >= 0.5 and precision > 0.93 and recall > 0.9, (kind, threshold, precision, recall)
+
+
+def test_wide_generators():
+    find = lambda t: pii.joined(pii.find(t, pii.model())[1])
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.abcDEFghi_jk"
+    block = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nMIIEow+/AB\nCD==\n-----END RSA PRIVATE KEY-----"
+    for lead, secret, tail, kind in [
+        ("here ", jwt, " ok", "secret"), ("x ", "-----BEGIN PRIVATE KEY-----", " y", "secret"), ("x ", block, " y", "secret"), ("Well, my password is ", "hunter2xyz", ". And", "secret"),
+        ("write ", "john dot doe at gmail dot com", " now", "spelled_email"), ("use ", "ghp_" + "abcdefABCDEF" * 3, " there", "secret"), ("password: ", "ab12", " on", "secret"),
+    ]:
+        assert find(lead + secret + tail) == f"{kind}:{len(lead)}:{len(lead) + len(secret)}", lead + secret
+    for text in ("the password is required here", "look at the dot matrix at home", "-----BEGIN CERTIFICATE-----", "note: word and see: other"):
+        assert find(text) == "", text
+
+
+def test_generators_are_linear():
+    for text in ("-----BEGIN PRIVATE KEY-----" * 20_000, "eyJ" * 150_000, "eyJaaaaaa." * 40_000, "password is " * 40_000, "a dot " * 80_000 + "at", "a at b dot " * 40_000, "-" * 400_000, "gh" * 200_000):
+        began = time.time()
+        assert isinstance(pii.candidates(text), list) and time.time() - began < 20
+
+
 def test_added_spans():
     find = lambda t: pii.joined(pii.find(t, pii.model())[1])
     assert find('re token = "fc22f42429fef2ebde85e081b172bc127a2eef28" on') == "secret:12:52"
@@ -84,6 +111,7 @@ def test_whole_table(spark):
     docs = dict(duckdb.sql("select doc_id, text from '/root/testdata/sf0.01/documents.parquet'").fetchall())
     rows = op10_pii(spark, "/root/testdata/sf0.01").collect()
     assert len(rows) == len(docs)
+    sure = many = 0
     for r in rows:
         want = brute(docs[r.doc_id])
         assert r.base_sha256 == hashlib.sha256(",".join(f"{PLAIN[k][0]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
@@ -93,7 +121,9 @@ def test_whole_table(spark):
         added = [s for s in spans if s.split(":")[0] not in pii.BASE]
         for s in added:
             kind, a, b = s.split(":")
-            assert kind == "secret" and re.fullmatch("[0-9a-fA-F]{40}", docs[r.doc_id][int(a) : int(b)]), (kind, docs[r.doc_id][int(a) - 20 : int(b) + 5])
+            sure += kind == "secret" and re.fullmatch("[0-9a-fA-F]{40}", docs[r.doc_id][int(a) : int(b)]) is not None
+            many += 1
+    assert sure >= 0.98 * many and sure == sum(len(re.findall('token = "[0-9a-f]{40}"', t or "")) for t in docs.values()) > 5
 
 
 def test_edges(spark):
