@@ -22,6 +22,8 @@ STEP_BYTES = 1 << 20
 SETTINGS = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 #: Folders of the tables that the operator at work has written.
 _written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+#: Folder of the table written last.
+_last: ContextVar[str | None] = ContextVar("last", default=None)
 
 
 @contextmanager
@@ -48,6 +50,7 @@ def materialize(frame: DataFrame) -> DataFrame:
     path = shared_folder(frame.sparkSession)
     if _written.get() is not None:
         _written.get().append(path)
+    _last.set(path)
     with settings(frame.sparkSession, SETTINGS):
         frame.write.parquet(path)
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
@@ -74,6 +77,24 @@ def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     return run
 
 
+def written(stage: Callable[..., DataFrame], spark: SparkSession, docs: DataFrame, *args) -> DataFrame:
+    """The written result of a stage over docs; all tables that the stage wrote on its way are deleted, and docs too if a stage has written it."""
+    own: list[str] = []
+    outer = _written.set(own)
+    try:
+        out = stage(spark, docs, *args)
+        _written.reset(outer)
+        outer = None
+        out = materialize(out)
+        out._millrace_folder = _last.get()
+        own.extend(filter(None, [getattr(docs, "_millrace_folder", None)]))
+        return out
+    finally:
+        if outer is not None:
+            _written.reset(outer)
+        delete(spark, own)
+
+
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, or one like it that no column has."""
     taken = {c.lower() for c in frame.columns}

@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import duckdb
+from pyspark.sql import functions as F
 from test_decontam import norm
 from test_near import brute as groups
 
@@ -38,9 +41,30 @@ def test_edges(spark):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(None, None, None, None, None), (1, "a b c d e f g", None, "s", 1), (2, "a b c d e f g", "en", None, 1), (2, "a b c d e f g", "en", None, 1), (3, "", "en", "s", 0)]
     docs = spark.createDataFrame(rows, schema)
-    for _, stage in cp.STAGES[1:-1]:
+    docs = docs.withColumn("word", F.lit(1)).withColumn("score", F.lit("x"))  # names that stages use themselves
+    for name, stage in cp.STAGES:
         out = stage(spark, docs, SF)
-        assert out.columns == cp.COLUMNS
+        assert name == "packing" or out.columns == cp.COLUMNS
         assert stage(spark, docs.limit(0), SF).count() == 0
-    assert sorted(str(r.doc_id) for r in cp.keep_one_of_each(spark, docs, SF).collect()) == ["1", "3", "None"]
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "3", "None"]
+        if name in ("decontamination", "pii", "packing"):
+            assert sorted(str(r.doc_id) for r in out.collect()) == ["1", "2", "2", "3", "None"]
     assert quality.THRESHOLD == 0.7
+
+
+def test_of_repeated_rows_one_stays(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, "a b c d e f g", "x", "s", 1)] * 3 + [(2, "quite another text with words", "x", "s", 1), (2, "and this one is different again", "x", "s", 1), (4, "", "x", "s", 0), (4, "", "x", "s", 0), (5, "a b c d e f g", "x", "s", 1)]
+    got = cp.keep_one_of_each(spark, spark.createDataFrame(rows, schema), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted({(d, t) for d, t, *_ in rows if d != 5})
+
+
+def test_run_on_an_empty_table_leaves_nothing_behind(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark"):
+        frame = spark.read.parquet(f"{SF}/{t}.parquet")
+        (frame.limit(0) if t == "documents" else frame).write.parquet(str(tmp_path / f"{t}.parquet"))
+    shared = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.iterdir())
+    out = cp.run(spark, str(tmp_path))
+    assert out.count() == 0 and len(set(shared.iterdir()) - before) == 1  # the result
