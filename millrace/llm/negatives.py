@@ -31,7 +31,10 @@ ROWS, ANCHORS = 1024, 1024
 BLOCK_ANCHORS, BLOCK_COMPONENTS = 1 << 15, 1 << 22
 #: Go on with single pairs once fewer than one in so many is left.
 SPARSE = 32
+#: Stands for a null id, which comes last.
 NO_ID = np.iinfo(np.int64).max
+#: Below and above every score.
+LOW, HIGH = -(1 << 62), 1 << 62
 
 
 def whole(rows: DataFrame) -> DataFrame:
@@ -121,9 +124,6 @@ class Best:
         return out
 
 
-LOW, HIGH = -(1 << 62), 1 << 62
-
-
 def _batches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[np.ndarray, ...]]:
     """(q, row, id, label) of at most ROWS rows at a time; a null id is NO_ID, which comes last."""
     for batch in batches:
@@ -137,7 +137,7 @@ def _positives(block, n: int):
 
     def run(batches):
         q, rows, _, labels = block.value
-        planes, best = Planes(q), Best(len(q), n)
+        best = Best(len(q), n)
         for values, row, id, label in _batches(batches, q.shape[1]):
             for one in np.unique(label):  # only rows and anchors of one label meet
                 at, who = np.flatnonzero(label == one), np.flatnonzero(labels == one)
@@ -150,7 +150,6 @@ def _positives(block, n: int):
                     least = best.least(np.full(len(q), LOW))[mine]
                     r, c, score = few.pairs(values[at], row[at][:, None] != rows[mine][None, :], least, np.full(len(mine), HIGH), group, n)
                     best.add(who[c], score, id[at][r], row[at][r])
-        del planes
         yield pa.RecordBatch.from_arrays([pa.array(rows[best.slot]), pa.array(best.score), pa.array(best.id), pa.array(best.row)], ["anchor", "score", "id", "row"])
 
     return run
