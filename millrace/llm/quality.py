@@ -29,6 +29,8 @@ HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.003, 1e-3
 THRESHOLD = 0.7
 #: A word takes about 500 bytes while it is looked up.
 POOL_BYTES = STEP_BYTES // 4
+#: Words with a neighbour that a task gathers before it adds them up, and different ones of these that are added at once.
+PAIRS, PAIR_BLOCK = 1 << 22, 1 << 15
 _KIND = np.arange(256, dtype=np.uint8)
 _KIND[65:91], _KIND[97:123], _KIND[128:], _KIND[48:58] = 65, 97, 97, 48
 
@@ -42,10 +44,15 @@ def index_vectors(n: int, seed: int) -> np.ndarray:
     return out
 
 
+def word_buckets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket of each word, its start and end, and its row."""
+    start, end, row = word_ranges(data, offsets)
+    return (range_hashes(prefix_hashes(LOWER[data]), start, end) % np.uint64(BUCKETS)).astype(np.int64), start, end, row
+
+
 def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket of each word, bucket of its shape, and its row."""
-    start, end, row = word_ranges(data, offsets)
-    words = range_hashes(prefix_hashes(LOWER[data]), start, end) % np.uint64(BUCKETS)
+    words, start, end, row = word_buckets(data, offsets)
     kinds = _KIND[data]
     keep = np.ones(len(data), bool)
     keep[1:] = kinds[1:] != kinds[:-1]
@@ -53,30 +60,54 @@ def word_codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     at = np.concatenate(([0], np.cumsum(keep)))
     shapes = range_hashes(prefix_hashes(kinds[keep]), at[start], at[end]) % np.uint64(SHAPES - 1) + np.uint64(1)
     shapes[1:][(words[1:] == words[:-1]) & (row[1:] == row[:-1])] = 0  # a word said again has a form of its own
-    return words.astype(np.int64), shapes.astype(np.int64), row
+    return words, shapes.astype(np.int64), row
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
 
 
+def neighbours(words: np.ndarray, row: np.ndarray) -> list[np.ndarray]:
+    """A number for each word and neighbour within reach in its row, the word's bucket in its high bits."""
+    out = []
+    for k in range(1, REACH + 1):
+        same = row[k:] == row[:-k]
+        left, right = words[:-k][same].astype(np.uint32), words[k:][same].astype(np.uint32)
+        out += [left * np.uint32(BUCKETS) + right, right * np.uint32(BUCKETS) + left]
+    return out
+
+
+def add_neighbours(pairs: list[np.ndarray], index: np.ndarray, total: np.ndarray) -> None:
+    """Add the neighbour's index vector to each word's sum, once for each different pair with the number of times it is met."""
+    places = np.nonzero(index)[1].reshape(-1, NONZERO)
+    signs = np.take_along_axis(index, places, 1).astype(np.float64)
+    pair, times = np.unique(np.concatenate(pairs), return_counts=True)
+    for low in range(0, len(pair), PAIR_BLOCK):
+        own, near = np.divmod(pair[low : low + PAIR_BLOCK].astype(np.int64), BUCKETS)
+        first, last = own[0], own[-1] + 1
+        at = places.take(near, 0)
+        at += ((own - first) * WIDTH)[:, None]
+        n = signs.take(near, 0)
+        n *= times[low : low + PAIR_BLOCK, None]
+        total[first:last] += np.bincount(at.ravel(), n.ravel(), (last - first) * WIDTH).reshape(-1, WIDTH).astype(np.int64)
+
+
 def context_vectors(docs: DataFrame) -> np.ndarray:
     """Sum of the neighbours' index vectors for each bucket, over docs (text); whole numbers, so any order of addition gives the same."""
 
     def run(batches):
         index = index_vectors(BUCKETS, 1)
         total = np.zeros((BUCKETS, WIDTH), np.int64)
-        for batch in steps(batches, POOL_BYTES):
-            words, _, row = word_codes(*text_bytes(batch.column("text")))
-            order = np.argsort(words, kind="stable")
-            near = np.zeros((len(words), WIDTH), np.int32)
-            for k in range(1, REACH + 1):
-                same = (row[k:] == row[:-k])[:, None]
-                near[k:] += index[words[:-k]] * same
-                near[:-k] += index[words[k:]] * same
-            if len(words):
-                values, first = np.unique(words[order], return_index=True)
-                total[values] += np.add.reduceat(near[order], first, 0)
+        held, n = [], 0
+        for batch in steps(batches):
+            words, _, _, row = word_buckets(*text_bytes(batch.column("text")))
+            new = neighbours(words, row)
+            held, n = held + new, n + sum(map(len, new))
+            if n > PAIRS:
+                add_neighbours(held, index, total)
+                held, n = [], 0
+        if n:
+            add_neighbours(held, index, total)
         used = np.flatnonzero(total.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), *(pa.array(total[used, k]) for k in range(WIDTH))], ["bucket", *(f"v{k}" for k in range(WIDTH))])
 

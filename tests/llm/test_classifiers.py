@@ -55,6 +55,28 @@ def test_word_vectors_cover_documents_outside_the_sample(spark):
     assert np.allclose(np.linalg.norm(model.words[codes] - own[codes], axis=1), 1, atol=1e-5)
 
 
+def test_word_vectors_are_sums_over_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(rng.choice(["a", "B", "c", "d!", "é"], n)) for n in (0, 1, 2, 3, 50, 400)] + ["", None, "x " * 50_000]
+    index, want = quality.index_vectors(quality.BUCKETS, 1).astype(np.int64), np.zeros((quality.BUCKETS, quality.WIDTH), np.int64)
+    for text in texts[:-1]:
+        data = (text or "").encode()
+        codes, _, _ = quality.word_codes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        for i, c in enumerate(codes):
+            for j in range(max(0, i - quality.REACH), min(len(codes), i + quality.REACH + 1)):
+                want[c] += index[codes[j]] * (i != j)
+    code = quality.word_codes(np.frombuffer(b"x", np.uint8), np.array([0, 1]))[0][0]
+    want[code] += index[code] * 2 * sum(50_000 - k for k in range(1, quality.REACH + 1))
+    docs = spark.createDataFrame([(t or "",) for t in texts], "text string").coalesce(2)
+    assert (quality.context_vectors(docs) == want).all()
+    pairs = [p for text in texts[:6] for p in quality.neighbours(*(lambda c: (c[0], c[2]))(quality.word_codes(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))))]
+    whole, parts = np.zeros_like(want), np.zeros_like(want)
+    quality.add_neighbours(pairs, index.astype(np.int8), whole)
+    monkeypatch.setattr(quality, "PAIR_BLOCK", 3)
+    quality.add_neighbours(pairs, index.astype(np.int8), parts)
+    assert (whole == parts).all() and whole.any()
+
+
 def test_steps_do_not_change_features():
     texts = ["Ab ab!! x", "", "ÉTÉ  9 | 8", "same same same"]
     v, s = np.random.rand(quality.BUCKETS, quality.WIDTH), np.random.rand(quality.SHAPES, quality.WIDTH)
