@@ -176,3 +176,35 @@ def test_locate_equals_the_walk_up(spark, tmp_path):
     got = {r.start: r.root for r in locate(frame(spark, map(str, folders), "start"), "culture.yaml").collect()}
     assert got == {str(f): nearest_root(str(f), "culture.yaml") for f in folders} and len(set(got.values())) > 10
     assert all(v is None or re.search("[\\[{*%]|lank|[?ü]", v) for v in got.values())
+
+
+@pytest.mark.parametrize("query", ["r_scan", "r_probe", "r_locate"])
+def test_planted_trees_are_deleted_by_tasks_and_repeated_documents_count(spark, tmp_path, monkeypatch, query):
+    from collections import Counter
+    from pathlib import Path
+
+    import duckdb
+
+    from millrace import catalog
+
+    rows = [(k, ["en", "de", "fr"][k % 3]) for k in range(50)]
+    spark.createDataFrame(rows + rows[:7], "doc_id long, lang string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(catalog, "TREES_IN_A_FOLDER", 10, raising=False)
+    left, sizes, real, real_scan = [], [], catalog.delete, catalog.scan
+
+    def delete(session, folders):
+        for top in folders:
+            left.append([p.name for p in Path(top.removeprefix("file:")).rglob("t[[]*")])
+        real(session, folders)
+
+    def scanned(roots, name):
+        sizes.extend(Counter(r.root.rpartition("/")[0] for r in roots.collect()).values())
+        return real_scan(roots, name)
+
+    monkeypatch.setattr(catalog, "delete", delete)
+    monkeypatch.setattr(catalog, "scan", scanned)
+    got = Counter(map(tuple, catalog.QUERIES[query](spark, str(tmp_path)).collect()))
+    duckdb.sql(f"create or replace temp view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == Counter(duckdb.sql(catalog.SQL[query]).fetchall())
+    assert left and not any(left)  # the driver alone would take an hour over millions of trees
+    assert all(n <= 10 for n in sizes) and bool(sizes) == (query == "r_scan")
