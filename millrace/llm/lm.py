@@ -14,15 +14,16 @@ Everything that is counted is counted over all training documents on the
 cluster: token counts go through one shuffle, every distinct token outside the
 list is spelt once, and documents meet these figures in a join. The tables of
 running text grow with the number of distinct tokens up to ``MOST_SIZE``; those of
-the spelling have a fixed size. Weights, gates and maps are fitted on samples of
-bounded size.
+the spelling have a fixed size. Weights, gates and maps are learnt from all training
+documents too: each task learns from its own rows, and what the tasks have learnt is
+merged by what each has seen.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import chain
 
 import numpy as np
@@ -33,15 +34,17 @@ from pyspark.sql import functions as F
 
 from .common import fold, materialize, steps, text_column, tidy
 from .mixing import APM_BINS, LEVELS, between, opinion, refined_logs, squash, step_of
-from .running import END, ORDERS, RunningModel, count, numbered
+from .running import END, ORDERS, RunningModel, count, numbered, unpacked, without_own
 from .words import mix, prefix_hashes, range_hashes
 
-GATES, GATE_WIDTH, GATE_SAMPLE = 6, 512, 2000
+#: Gates, the width of what they are found by, and the centres that a task keeps of its documents.
+GATES, GATE_WIDTH, CENTRES = 6, 512, 24
 FREQUENT = 100_000
 #: Slots of each predictor's table, as powers of two: the word so far, four bytes in a gate, two, three and five bytes.
 SIZES = (20, 20, 18, 19, 20)
 BLOCK = 1 << 16
-MIX_SAMPLE, MIX_BATCH, RATE = 60_000, 256, 0.004
+#: Words of one step of learning to spell, and of the task that learns from them.
+MIX_BATCH, MIX_TASK, RATE = 256, 250_000, 0.004
 #: Slots of the tables of running text, as powers of two: sixteen slots for each distinct token between these bounds.
 LEAST_SIZE, MOST_SIZE = 14, 22
 #: Tokens of one step of scoring, and of counting, in a Python task; a longer text is a step of its own.
@@ -66,35 +69,45 @@ def words_of(batch: pa.RecordBatch) -> list[list[bytes]]:
     return [text.lower().split() for text in batch.column("text").cast(pa.binary()).to_pylist()]
 
 
-def sample(train: DataFrame) -> DataFrame:
-    """(text) of at most GATE_SAMPLE distinct rows, chosen by hash."""
-    share = 2 * GATE_SAMPLE / max(1, train.count()) + 0.001
-    dice = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    # ids first: only numbers are sorted, and the texts of at most GATE_SAMPLE rows are read again where they stand
-    drawn = train.where(dice < share).select(F.xxhash64("doc_id", "text").alias("h")).orderBy("h").limit(GATE_SAMPLE).distinct()
-    return materialize(train.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(drawn), "h", "left_semi").select("text"))
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
 
 
-def fit_gates(some: DataFrame) -> np.ndarray:
-    """Centres of k-means by cosine on sampled texts, the best of ten starts."""
+def sums_by(own: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Sum of the rows of each of k groups."""
+    return (own == np.arange(k)[:, None]).astype(x.dtype) @ x
+
+
+def fit_gates(train: DataFrame) -> np.ndarray:
+    """Centres of k-means by cosine over all texts: each task keeps the sums of its texts about a few moving centres, and those are grouped, the best of ten starts."""
 
     def run(batches):
+        sums = None
         for batch in steps(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in gate_features(words_of(batch)).astype(np.float32)], pa.binary())], ["x"])
-
-    got = some.mapInArrow(run, "x binary").toArrow()  # at most GATE_SAMPLE rows, put in order here: a sort on the cluster would work them out twice
+            x = gate_features(words_of(batch)).astype(np.float32)
+            if sums is None:
+                sums, centre = np.zeros((CENTRES, GATE_WIDTH), np.float32), x[np.linspace(0, len(x) - 1, CENTRES).astype(np.int64)]
+                for _ in range(4):
+                    found = sums_by((x @ centre.T).argmax(1), x, CENTRES)
+                    centre = np.where(found.any(1, keepdims=True), unit(found), centre)
+            sums += sums_by((x @ centre.T).argmax(1), x, CENTRES)
+            centre = np.where(sums.any(1, keepdims=True), unit(sums), centre)
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in sums[sums.any(1)]], pa.binary())], ["x"])
+
+    got = train.select("text").mapInArrow(run, "x binary").toArrow()  # at most CENTRES rows of each task, put in order here
     if not got.num_rows:
         return np.zeros((GATES, GATE_WIDTH))
-    x = np.stack([np.frombuffer(b, np.float32) for b in sorted(got["x"].to_pylist())]).astype(np.float64)
-    rng, best = np.random.Generator(np.random.PCG64(11)), (-1.0, x[:1])
+    sums = np.stack([np.frombuffer(b, np.float32) for b in sorted(got["x"].to_pylist())]).astype(np.float64)
+    x, best = unit(sums), (-1.0, np.zeros((GATES, GATE_WIDTH)))
+    rng = np.random.Generator(np.random.PCG64(11))
     for _ in range(10):
         c = x[rng.permutation(len(x))[:GATES]]
         c = np.concatenate((c, np.zeros((GATES - len(c), GATE_WIDTH))))
         for _ in range(12):
-            own = (x @ c.T).argmax(1)
-            c = np.stack([x[own == k].mean(0) if (own == k).any() else c[k] for k in range(GATES)])
-            c /= np.maximum(np.sqrt((c * c).sum(1, keepdims=True)), 1e-9)
-        best = max(best, (float((x @ c.T).max(1).sum()), c), key=lambda r: r[0])
+            found = sums_by((x @ c.T).argmax(1), sums, GATES)
+            c = np.where(found.any(1, keepdims=True), unit(found), c)
+        best = max(best, (float((sums @ c.T)[np.arange(len(x)), (x @ c.T).argmax(1)].sum()), c), key=lambda r: r[0])
     return best[1]
 
 
@@ -158,16 +171,20 @@ class Mixer:
     def mixed(self, x: np.ndarray, gate, level: np.ndarray) -> np.ndarray:
         return np.clip((x * self.weights[gate, level]).sum(-1), -12, 12)
 
-    def learn(self, x: np.ndarray, gate: np.ndarray, level: np.ndarray, bit: np.ndarray, k: int, rate: float) -> None:
-        """One online step on bits seen together."""
+    def learn(self, x: np.ndarray, gate: np.ndarray, level: np.ndarray, bit: np.ndarray, k: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
+        """One online step on bits seen together; how many each weight and each bin of the map has met."""
         z = self.mixed(x, gate, level)
         error = bit - squash(z)
-        np.add.at(self.weights, (gate, level), rate * error[:, None] * x)
+        cell, cells = gate * LEVELS + level, GATES * LEVELS
+        flat = self.weights.reshape(cells, -1)
+        for j in range(x.shape[1]):
+            flat[:, j] += rate * np.bincount(cell, error * x[:, j], cells)
         at, part = between(z)
         at = at + (part > 0.5)
         n = np.bincount(at, minlength=APM_BINS)
         hit = np.bincount(at, bit, APM_BINS)
         self.apm[k] += np.minimum(0.5, 0.02 * n) * np.where(n > 0, hit / np.maximum(n, 1) - self.apm[k], 0)
+        return np.bincount(cell, minlength=cells).reshape(GATES, LEVELS), n
 
 
 @dataclass
@@ -213,25 +230,57 @@ class BitModel:
         return out
 
 
-def fit_mixer(tables: list[np.ndarray], words: list[bytes], gates: np.ndarray) -> Mixer:
-    """Mixer learnt online on sampled words; each word's own count is taken out of the tables it meets."""
-    mixer = Mixer.new()
-    order = np.random.Generator(np.random.PCG64(3)).permutation(len(words))
-    for round_, low in enumerate(range(0, len(words), MIX_BATCH)):
-        some = order[low : low + MIX_BATCH]
-        data, word, contexts = spell([words[i] for i in some])
-        gate = gates[some][word]
+def learn_spelling(mixer: Mixer, minus: list[np.ndarray], words: list[bytes], gates: np.ndarray, visits: np.ndarray, met: np.ndarray, round_: int) -> int:
+    """Teach a mixer words in their order; each word's own count is taken out of what it meets. Visits are added up; gives the next round."""
+    for low in range(0, len(words), MIX_BATCH):
+        data, word, contexts = spell(words[low : low + MIX_BATCH])
+        gate = gates[low : low + MIX_BATCH][word]
+        contexts[1] = gated(contexts[1], gate)
+        x = np.ones((len(data), len(SIZES) + 1))
         for k in range(8):
             node = (1 << k) | (data >> (8 - k)).astype(np.int64)
             bit = ((data >> (7 - k)) & 1).astype(np.int64)
-            x = np.ones((len(data), len(SIZES) + 1))
             for t, context in enumerate(contexts):
-                n = tables[t][slots(gated(context, gate) if t == 1 else context, node, t)].astype(np.float64)
-                n[np.arange(len(n)), bit] = np.maximum(0, n[np.arange(len(n)), bit] - 1)
-                x[:, t], level_t = opinion(n[:, 0], n[:, 1])
+                x[:, t], level_t = unpacked(minus[t].reshape(-1).take(2 * slots(context, node, t) + bit))
                 if t == 0:
-                    level = level_t
-            mixer.learn(x, gate, level, bit, k, RATE / (1 + round_ / 40))
+                    level = level_t.astype(np.int64)
+            seen, n = mixer.learn(x, gate, level, bit, k, RATE / (1 + round_ / 40))
+            visits += seen
+            met[k] += n
+        round_ += 1
+    return round_
+
+
+def fit_mixer(tables: list[np.ndarray], words: list[bytes], gates: np.ndarray) -> Mixer:
+    """Mixer learnt online on words at hand."""
+    mixer = Mixer.new()
+    learn_spelling(mixer, [without_own(t) for t in tables], words, gates, np.zeros((GATES, LEVELS)), np.zeros((8, APM_BINS)), 0)
+    return mixer
+
+
+def fit_spelling(words: DataFrame, tables: list[np.ndarray]) -> Mixer:
+    """Mixer learnt online on all distinct training words (word, t0 …), each under the gate where it is most frequent: by each task on its own, merged by visits."""
+    names = [f"t{g}" for g in range(GATES)]
+    held = words.sparkSession.sparkContext.broadcast([without_own(t) for t in tables])
+
+    def run(batches):
+        mixer, visits, met, round_ = Mixer.new(), np.zeros((GATES, LEVELS)), np.zeros((8, APM_BINS)), 0
+        for batch in batches:
+            best = np.stack([batch.column(c).to_numpy() for c in names], 1).argmax(1)
+            round_ = learn_spelling(mixer, held.value, batch.column("word").to_pylist(), best, visits, met, round_)
+        if round_:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (mixer.weights, visits, mixer.apm, met)], ["w", "v", "a", "m"])
+
+    # in the order of a hash, so that the weights do not depend on which task ended first
+    got = words.select("word", *names).sortWithinPartitions(F.xxhash64("word")).mapInArrow(run, "w binary, v binary, a binary, m binary").collect()  # one row of each task
+    held.unpersist()
+    mixer = Mixer.new()
+    if got:
+        got.sort(key=lambda r: bytes(r["w"]))
+        read = lambda name, shape: np.array([np.frombuffer(r[name], np.float64).reshape(shape) for r in got])
+        visits, met = read("v", (GATES, LEVELS))[..., None] + 1e-3, read("m", (8, APM_BINS)) + 1e-3
+        mixer.weights = (read("w", mixer.weights.shape) * visits).sum(0) / visits.sum(0)
+        mixer.apm = (read("a", mixer.apm.shape) * met).sum(0) / met.sum(0)
     return mixer
 
 
@@ -393,22 +442,22 @@ def running_tables(rows: DataFrame, model: RunningModel) -> list[np.ndarray]:
     return out
 
 
-def fit_running(some: DataFrame, model: RunningModel, twice: set[bytes]) -> RunningModel:
-    """The model with weights and map learnt online on sampled texts by a few tasks and merged by their visits.
+def fit_running(rows: DataFrame, model: RunningModel, twice: np.ndarray) -> RunningModel:
+    """The model with weights and map learnt online on all rows of ``numbered_tokens``, by each task on its own, and merged by visits.
 
-    Words of the list that all training documents have twice are escapes there:
+    Words of the list that all training documents have ``twice`` are escapes there:
     without the text at hand they would not be in the list.
     """
-    held = some.sparkSession.sparkContext.broadcast((model, twice))
+    held = rows.sparkSession.sparkContext.broadcast((replace(model, number={}, tables=[]), [without_own(t) for t in model.tables], np.flatnonzero(twice)))
 
     def run(batches):
-        own, few = held.value
-        number = {w: i for w, i in own.number.items() if w not in few}
-        parts = (numbered(batch.column("text").cast(pa.binary()).to_pylist(), number, own.escape)[1:] for batch in steps(batches))
-        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in own.learn(parts)], ["w", "v", "h", "m"])
+        own, minus, few = held.value
+        instead = np.arange(own.escape + 1)
+        instead[few] = own.escape
+        found = own.learn(((instead.take(symbols), sizes) for _, symbols, sizes in token_steps(batches)), minus)
+        yield pa.RecordBatch.from_arrays([pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in found], ["w", "v", "h", "m"])
 
-    # eight tasks at most, in the order of the texts, so that the weights do not depend on which task ends first
-    got = some.repartitionByRange(8, "text").sortWithinPartitions("text").mapInArrow(run, "w binary, v binary, h binary, m binary").collect()
+    got = rows.select("n_tokens", "symbols").mapInArrow(run, "w binary, v binary, h binary, m binary").collect()  # one row of each task
     got.sort(key=lambda r: bytes(r["w"]))
     read = lambda name, shape: np.array([np.frombuffer(r[name], np.float64).reshape(shape) for r in got]).reshape(-1, *shape)
     visits = read("v", (len(model.weights),))[:, :, None] + 1e-3
@@ -430,8 +479,7 @@ def scores(docs: DataFrame, folds: int = 7) -> DataFrame:
     """
     names = [f"t{g}" for g in range(GATES)]
     rows = text_column(docs, "doc_id").withColumn("train", fold(F.col("doc_id"), folds) != 2)
-    some = sample(rows.where("train"))
-    gates = fit_gates(some)
+    gates = fit_gates(rows.where("train"))
     counts = materialize(count_tokens(rows, gates))
     total = " + ".join(names)
     is_end = F.col("word") == F.lit(END)
@@ -442,12 +490,7 @@ def scores(docs: DataFrame, folds: int = 7) -> DataFrame:
     n, v = sum(sums[g] for g in names), sums["v"]
     parts = max(6, sums["m"] // 1_000_000)
     tables = sum_tables(counts.coalesce(parts))
-    # a sample of distinct tokens by hash, each under the gate where it is most frequent
-    rate = min(1.0, MIX_SAMPLE / max(v, 1))
-    dice = F.pmod(F.xxhash64("word"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = counts.where(~is_end).where(f"{total} > 0").where(dice < rate).orderBy("word").toArrow()  # about MIX_SAMPLE rows
-    best = np.stack([drawn[c].to_numpy() for c in names], 1).argmax(1) if drawn.num_rows else np.zeros(0, np.int64)
-    mixer = fit_mixer(tables, drawn["word"].to_pylist(), best)
+    mixer = fit_spelling(counts.where(~is_end).where(f"{total} > 0").coalesce(max(1, v // MIX_TASK)), tables)
     context = docs.sparkSession.sparkContext
     bits = context.broadcast(BitModel([opinion(t[:, 0].astype(np.float64), t[:, 1].astype(np.float64)) for t in tables], mixer))
     del tables
@@ -471,7 +514,7 @@ def scores(docs: DataFrame, folds: int = 7) -> DataFrame:
     model = RunningModel.new(keys, np.concatenate((listed, by_gate - listed.sum(0, keepdims=True))), (end[0] + 1) / (end.sum() + GATES), size)
     tokens = numbered_tokens(rows, model)
     model.tables = running_tables(tokens.where("train"), model)
-    model = fit_running(some, model, {w for w, x in zip(keys[:-1], listed.sum(1), strict=False) if x == 2})
+    model = fit_running(tokens.where("train"), model, np.append(listed.sum(1)[:-1] == 2, [False, False]))
     top = context.broadcast((model, np.log10(listed.sum(1) + 1), bool(end.any())))
     # what new text has of new tokens, by gate: the share of tokens that all gates together have seen once
     ones = np.array([sums[f"once{g}"] for g in range(GATES)], np.float64)

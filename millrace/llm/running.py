@@ -23,8 +23,8 @@ from .words import mix
 #: The last token of every document; no word holds a blank.
 END = b" "
 ORDERS, DEPTHS, INPUTS = 2, 16, 5
-#: Tokens of one step, and of one step of learning.
-BLOCK, LEARN = 1 << 13, 128
+#: Tokens of one step, and of one step of learning: few at first, then as many again as one in so many that were seen.
+BLOCK, LEARN, MOST_LEARN, LEARN_PART = 1 << 13, 128, 1024, 128
 #: Steps of an opinion of a slot on either side of 0, up to 9; the level stands above them.
 SCALE, LEVEL_BIT = 4095, 13
 _NODE, _SPREAD = np.uint32(0x6659FD93), np.uint32(0x9E3779B1)
@@ -206,6 +206,22 @@ class Slots:
         return iter((steps * (9 / SCALE) - 9, levels))
 
 
+def without_own(counts: np.ndarray) -> np.ndarray:
+    """(slot, bit): opinion and level of each slot, packed, once an outcome of that bit is taken out."""
+    out = np.empty(counts.shape, np.uint16)
+    for low in range(0, len(counts), 1 << 17):
+        for bit in range(2):
+            n = counts[low : low + (1 << 17)].astype(np.float32)
+            n[:, bit] = np.maximum(0, n[:, bit] - 1)
+            out[low : low + len(n), bit] = Slots.of(n).packed
+    return out
+
+
+def unpacked(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Opinions and levels of packed slots."""
+    return (met & np.uint16((1 << LEVEL_BIT) - 1)).astype(np.float32) * np.float32(9 / SCALE) - np.float32(9), met >> LEVEL_BIT
+
+
 @dataclass
 class RunningModel:
     """The list, its code, exact predictions by gate and in all, the tables' opinions, and what mixes them.
@@ -246,15 +262,6 @@ class RunningModel:
         tables = [Slots.of(t) for t in self.tables]
         return RunningModel(self.number, self.code, self.shares, self.prior, self.by_gate, self.in_all, self.size, tables, weights, apm)
 
-    def _inputs(self, node: np.ndarray, gate: np.ndarray, seen: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        x = np.ones((len(node), INPUTS), np.float32)
-        x[:, 0], x[:, 1] = self.by_gate[gate, node], self.in_all[node]
-        chosen = gate.astype(np.int32)
-        for k, (own, level) in enumerate(seen):
-            x[:, 2 + k] = own
-            chosen = chosen * LEVELS + level
-        return x, chosen
-
     def log_shares(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithm of the probability of each token given those before it in its text, and its gate.
 
@@ -293,33 +300,45 @@ class RunningModel:
             out[part] = np.add.reduceat(logs.take(line), np.cumsum(n) - n)
         return out[run], gates
 
-    def learn(self, parts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def learn(self, parts, minus: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Weights learnt online on texts that the tables have counted, visits of each, and hits and visits of the map.
 
-        Each token's own counts are taken out of what it meets, since a text to be scored is not in the tables.
+        Each token's own counts are taken out of what it meets, since a text to be scored is not in the tables;
+        ``minus`` holds the tables in the form of ``without_own``, if they were made before.
         """
+        minus = minus or [without_own(t) for t in self.tables]
         weights, power = self.weights.astype(np.float64), np.ones(self.weights.shape)
-        visits, hits, met = np.zeros(len(weights)), np.zeros(self.apm.shape), np.zeros(self.apm.shape)
+        cells, bins = len(weights), self.apm.size
+        visits, hits, met, known = np.zeros(cells), np.zeros(bins), np.zeros(bins), 0
         for symbols, sizes in parts:
-            gates = gates_before(symbols, sizes, self.shares, self.prior)
+            gates = gates_before(symbols, sizes, self.shares, self.prior).astype(np.int32)
             hashes = contexts(symbols, sizes, len(self.code.length))
-            for low in range(0, len(symbols), LEARN):
-                own, way = self.code.decisions(symbols[low : low + LEARN])
-                node, bit, row = self.code.node[way], self.code.bit[way], self.code.depth[way]
-                each, seen = np.arange(len(bit)), []
-                for table, context in zip(self.tables, hashes, strict=True):
-                    n = table[slots(context[low : low + LEARN][own], node, self.size)].astype(np.float64)
-                    n[each, bit] = np.maximum(0, n[each, bit] - 1)
-                    seen.append(opinion(n[:, 0], n[:, 1]))
-                x, chosen = self._inputs(node, gates[low : low + LEARN][own], seen)
-                z = np.clip((x * weights[chosen]).sum(1), -12, 12)
-                slope = np.zeros(weights.shape)
-                np.add.at(slope, chosen, (bit - squash(z))[:, None] * x)
+            low = 0
+            while low < len(symbols):
+                size = min(MOST_LEARN, max(LEARN, known // LEARN_PART))
+                part, low, known = slice(low, low + size), low + size, known + size
+                n, way = self.code.ways(symbols[part])
+                step = self.code.packed.take(way)
+                node, bit, chosen = step // np.int32(2 * DEPTHS), step & np.int32(1), np.repeat(gates[part], n)
+                x = [self.by_gate[chosen, node], self.in_all.take(node)]
+                for table, context in zip(minus, hashes, strict=True):
+                    place = slots(np.repeat(context[part], n), node, self.size).astype(np.int64)
+                    place <<= 1
+                    place += bit
+                    own, level = unpacked(table.reshape(-1).take(place))
+                    x.append(own)
+                    chosen = chosen * LEVELS + level
+                z = weights[:, INPUTS - 1].take(chosen)
+                for k, own in enumerate(x):
+                    z += weights[:, k].take(chosen) * own
+                z = np.clip(z, -12, 12)
+                error = bit - squash(z)
+                slope = np.stack([np.bincount(chosen, error * own, cells) for own in x] + [np.bincount(chosen, error, cells)], 1)
                 power += slope * slope
                 weights += 0.06 * slope / np.sqrt(power)
-                visits += np.bincount(chosen, minlength=len(weights))
-                at, part = between(z)
-                at = at + (part > 0.5)
-                np.add.at(hits, (row, at), bit)
-                np.add.at(met, (row, at), 1)
-        return weights, visits, hits, met
+                visits += np.bincount(chosen, minlength=cells)
+                at, over = between(z)
+                at += ((step & np.int32(2 * DEPTHS - 1)) >> 1) * APM_BINS + (over > 0.5)
+                hits += np.bincount(at, bit, bins)
+                met += np.bincount(at, minlength=bins)
+        return weights, visits, hits.reshape(self.apm.shape), met.reshape(self.apm.shape)

@@ -151,3 +151,36 @@ def test_code_is_free_of_prefixes_and_of_least_length():
     ways = ["".join(map(str, code.bit[f : f + n])) for f, n in zip(code.first, code.length, strict=True)]
     assert not any(a != b and b.startswith(a) for a in ways for b in ways) and abs(sum(2.0 ** -len(w) for w in ways) - 1) < 1e-12
     assert sum(w * len(c) for w, c in zip(weights, ways, strict=True)) == 69
+
+
+def test_gates_and_weights_are_learnt_from_all_training_documents(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('w', id, ' of ', id % 7, ' a b') as text")
+    train = sum(zlib.crc32(str(d).encode()) % 7 != 2 for d in range(4000))
+    met = {}
+    for name in ("fit_gates", "fit_running", "fit_spelling"):
+        def spy(frame, *args, name=name, real=getattr(lm, name, None)):
+            met[name] = frame.count()
+            return real(frame, *args)
+
+        monkeypatch.setattr(lm, name, spy, raising=False)
+    assert lm.scores(docs).count() == 4000
+    assert met == {"fit_gates": train, "fit_running": train, "fit_spelling": train + 3 + 7}  # words of their own, "of", "a", "b" and seven numbers
+
+
+def test_one_document_of_many_moves_a_gate(spark):
+    rows = [(f"{'the of and' if k % 2 else 'le la et'} x{k % 50}",) for k in range(3000)]
+    want = lm.fit_gates(spark.createDataFrame(rows, "text string").coalesce(1))
+    for k in (0, 1501, 2999):
+        other = [*rows[:k], ("quite another text",), *rows[k + 1 :]]
+        assert not np.array_equal(want, lm.fit_gates(spark.createDataFrame(other, "text string").coalesce(1)))
+
+
+def test_opinions_without_own_outcome():
+    counts = np.random.default_rng(9).integers(0, 40, (2000, 2)).astype(np.uint16)
+    minus = running.without_own(counts)
+    for bit in range(2):
+        less = counts.astype(np.float32)
+        less[:, bit] = np.maximum(0, less[:, bit] - 1)
+        x, level = mixing.opinion(less[:, 0], less[:, 1])
+        own, own_level = running.unpacked(minus[:, bit])
+        assert np.abs(own - x).max() <= 9 / running.SCALE and (own_level == level).all()
