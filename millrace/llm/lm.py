@@ -22,53 +22,53 @@ merged by what each has seen.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from dataclasses import dataclass, replace
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize, steps, text_column, tidy
-from .mixing import APM_BINS, LEVELS, between, opinion, refined_logs, squash, step_of
+from .common import fold, materialize, steps, text_bytes, text_column, tidy
+from .mixing import APM_BINS, LEVELS, bin_of, learn, merged, no_curve, opinion, refined_logs, squash, step_of
 from .running import END, ORDERS, RunningModel, count, numbered, unpacked, without_own
-from .words import mix, prefix_hashes, range_hashes
+from .words import cut_words, mix, prefix_hashes, range_hashes
 
 #: Gates, the width of what they are found by, and the centres that a task keeps of its documents.
 GATES, GATE_WIDTH, CENTRES = 6, 512, 24
 FREQUENT = 100_000
 #: Slots of each predictor's table, as powers of two: the word so far, four bytes in a gate, two, three and five bytes.
 SIZES = (20, 20, 18, 19, 20)
+#: The tables that all gates share.
+SHARED = (0, 2, 3, 4)
 BLOCK = 1 << 16
-#: Words of one step of learning to spell, and of the task that learns from them.
-MIX_BATCH, MIX_TASK, RATE = 256, 250_000, 0.004
+#: Words of the first step of learning to spell, of the largest one, and of the task that learns from them.
+MIX_LEAST, MIX_BATCH, MIX_TASK = 128, 4096, 250_000
 #: Slots of the tables of running text, as powers of two: sixteen slots for each distinct token between these bounds.
 LEAST_SIZE, MOST_SIZE = 14, 22
 #: Tokens of one step of scoring, and of counting, in a Python task; a longer text is a step of its own.
-TOKEN_STEP, COUNT_STEP = 1 << 17, 1 << 20
-#: Tokens by gate that a task holds before it passes its counts on.
-HELD = 300_000
+TOKEN_STEP, COUNT_STEP = 1 << 19, 1 << 20
+#: Bytes of text of one step of numbering, whose look-up is made anew for each.
+NUMBER_STEP = 4 << 20
+#: Words that a task holds before it passes their counts on.
+HELD = 1 << 22
 
 
 # gates
 
 
-def gate_features(texts: list[list[bytes]]) -> np.ndarray:
+def gate_features(words: pa.Array, sizes: np.ndarray) -> np.ndarray:
     """Unit vectors of the square roots of hashed counts of the words of each text."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    code = np.fromiter(map(zlib.crc32, chain.from_iterable(texts)), np.int64, int(sizes.sum())) % GATE_WIDTH
-    row = np.repeat(np.arange(len(texts)) * GATE_WIDTH, sizes)
-    x = np.sqrt(np.bincount(row + code, minlength=len(texts) * GATE_WIDTH).reshape(len(texts), GATE_WIDTH))
+    data, offsets = text_bytes(words)
+    code = (range_hashes(prefix_hashes(data), offsets[:-1], offsets[1:]) % np.uint64(GATE_WIDTH)).astype(np.int64)
+    code += np.repeat(np.arange(len(sizes)) * GATE_WIDTH, sizes)
+    x = np.sqrt(np.bincount(code, minlength=len(sizes) * GATE_WIDTH).reshape(len(sizes), GATE_WIDTH))
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
 
 
-def words_of(batch: pa.RecordBatch) -> list[list[bytes]]:
-    return [text.lower().split() for text in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(-1, keepdims=True)), 1e-9)
 
@@ -84,7 +84,7 @@ def fit_gates(train: DataFrame) -> np.ndarray:
     def run(batches):
         sums = None
         for batch in steps(batches):
-            x = gate_features(words_of(batch)).astype(np.float32)
+            x = gate_features(*cut_words(batch.column("text"))).astype(np.float32)
             if sums is None:
                 sums, centre = np.zeros((CENTRES, GATE_WIDTH), np.float32), x[np.linspace(0, len(x) - 1, CENTRES).astype(np.int64)]
                 for _ in range(4):
@@ -127,15 +127,23 @@ def spell(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]
     return data, np.repeat(np.arange(len(words)), length), [prefix, last(4), last(2), last(3), last(5)]
 
 
-def slots(context: np.ndarray, node: np.ndarray, table: int) -> np.ndarray:
-    """Slot of a mixed context at a node of the byte's tree, from the high bits of a product."""
-    return (((context + node.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIZES[table])).astype(np.int64)
-
-
 def gated(context: np.ndarray, gate) -> np.ndarray:
     return context ^ (np.atleast_1d(np.asarray(gate, np.uint64)) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
 
 
+def bases(contexts: list[np.ndarray], data: np.ndarray, half: int, tables) -> list[np.ndarray]:
+    """First of the sixteen slots of each mixed context for one half of its byte, from the high bits of a product; bits of the half before count to the context."""
+    above = (data >> np.uint8(4)).astype(np.uint64) + np.uint64(16) if half else np.zeros(len(data), np.uint64)
+    above *= np.uint64(0xD6E8FEB86659FD93)
+    return [(((c + above) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SIZES[t])).astype(np.int64) for c, t in zip(contexts, tables, strict=True)]
+
+
+def node_and_bit(data: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node of the k-th bit among the fifteen of its half, and the bit."""
+    half = (data >> np.uint8(4) if k < 4 else data & np.uint8(15)).astype(np.int64)
+    return (1 << k % 4) | half >> (4 - k % 4), half >> (3 - k % 4) & 1
+
+
 def count_tables(words: list[bytes], counts: np.ndarray, into: list[np.ndarray]) -> None:
     """Add the outcomes of training words to tables of two counts a slot: each word once, and once for each gate where it has a count.
 
@@ -143,17 +151,22 @@ def count_tables(words: list[bytes], counts: np.ndarray, into: list[np.ndarray])
     new, and new words are like distinct words, not like running text.
     """
     data, word, contexts = spell(words)
-    inside = [np.flatnonzero(counts[word, g] > 0) for g in range(GATES)]
+    of_word, gate = np.nonzero(counts > 0)
+    of_word, gate = of_word[order := np.argsort(gate, kind="stable")], gate[order]
+    # places of the bytes of each word under each of its gates
+    length = np.bincount(word, minlength=len(words))
+    n = length[of_word]
+    places = np.arange(n.sum()) + np.repeat((np.cumsum(length) - length)[of_word] - (np.cumsum(n) - n), n)
+    contexts[1] = gated(contexts[1][places], np.repeat(gate, n))
     flat = [t.reshape(-1) for t in into]
     for k in range(8):
-        node = (1 << k) | (data >> (8 - k)).astype(np.int64)
-        bit = ((data >> (7 - k)) & 1).astype(np.int64)
-        for t, context in enumerate(contexts):
-            if t != 1:
-                np.add.at(flat[t], 2 * slots(context, node, t) + bit, 1)
-                continue
-            for g, own in enumerate(inside):
-                np.add.at(flat[t], 2 * slots(gated(context[own], g), node[own], t) + bit[own], 1)
+        node, bit = node_and_bit(data, k)
+        if k % 4 == 0:
+            first = bases([contexts[t] for t in SHARED], data, k // 4, SHARED)
+            own = bases(contexts[1:2], data[places], k // 4, [1])[0]
+        for t, base in zip(SHARED, first, strict=True):
+            np.add.at(flat[t], (base ^ node) * 2 + bit, 1)
+        np.add.at(flat[1], (own ^ node[places]) * 2 + bit[places], 1)
 
 
 @dataclass
@@ -168,24 +181,6 @@ class Mixer:
         apm = np.repeat(squash(np.linspace(-8, 8, APM_BINS))[None], 8, 0)
         return cls(np.full((GATES, LEVELS, len(SIZES) + 1), 0.3), apm)
 
-    def mixed(self, x: np.ndarray, gate, level: np.ndarray) -> np.ndarray:
-        return np.clip((x * self.weights[gate, level]).sum(-1), -12, 12)
-
-    def learn(self, x: np.ndarray, gate: np.ndarray, level: np.ndarray, bit: np.ndarray, k: int, rate: float) -> tuple[np.ndarray, np.ndarray]:
-        """One online step on bits seen together; how many each weight and each bin of the map has met."""
-        z = self.mixed(x, gate, level)
-        error = bit - squash(z)
-        cell, cells = gate * LEVELS + level, GATES * LEVELS
-        flat = self.weights.reshape(cells, -1)
-        for j in range(x.shape[1]):
-            flat[:, j] += rate * np.bincount(cell, error * x[:, j], cells)
-        at, part = between(z)
-        at = at + (part > 0.5)
-        n = np.bincount(at, minlength=APM_BINS)
-        hit = np.bincount(at, bit, APM_BINS)
-        self.apm[k] += np.minimum(0.5, 0.02 * n) * np.where(n > 0, hit / np.maximum(n, 1) - self.apm[k], 0)
-        return np.bincount(cell, minlength=cells).reshape(GATES, LEVELS), n
-
 
 @dataclass
 class BitModel:
@@ -204,83 +199,89 @@ class BitModel:
         key = contexts[0] ^ mix(data.astype(np.uint64) + np.uint64(1))
         _, first, run = np.unique(key, return_index=True, return_inverse=True)
         data, contexts = data[first], [c[first] for c in contexts]
-        gates = [gated(contexts[1], g) for g in range(GATES)]
+        contexts = [contexts[t] for t in SHARED] + [gated(contexts[1], g) for g in range(GATES)]
         weights = self.mixer.weights.astype(np.float32)
         both = [0, 2, 3, 4, 5]  # the predictors that all gates share, and the constant
         logs = refined_logs(self.mixer.apm, 1e-5).reshape(8, -1)
         total = np.zeros((GATES, len(data)))
         x = np.ones((len(data), 5), np.float32)
         for k in range(8):
-            node = (1 << k) | (data >> (8 - k)).astype(np.int64)
-            bit = (data >> (7 - k)) & 1
-            for place, t in enumerate((0, 2, 3, 4)):
-                at = slots(contexts[t], node, t)
-                x[:, place] = self.tables[t][0][at]
+            node, bit = node_and_bit(data, k)
+            if k % 4 == 0:
+                first = bases(contexts, data, k // 4, [*SHARED, *[1] * GATES])
+            for place, t in enumerate(SHARED):
+                at = first[place] ^ node
+                x[:, place] = self.tables[t][0].take(at)
                 if t == 0:
-                    level = self.tables[0][1][at].astype(np.int64)
+                    level = self.tables[0][1].take(at).astype(np.int64)
             z = np.empty((len(data), GATES), np.float32)
             for v in range(LEVELS):
                 own = np.flatnonzero(level == v)
                 z[own] = x[own] @ weights[:, v, both].T
             for g in range(GATES):
-                own = self.tables[1][0].take(slots(gates[g], node, 1)) * weights[g, :, 1].take(level)
+                own = self.tables[1][0].take(first[len(SHARED) + g] ^ node) * weights[g, :, 1].take(level)
                 total[g] += logs[k].take(2 * step_of(z[:, g] + own) + bit)
         for g in range(GATES):
             out[:, g] = np.bincount(word, total[g][run], len(words)) / np.log(10)
         return out
 
 
-def learn_spelling(mixer: Mixer, minus: list[np.ndarray], words: list[bytes], gates: np.ndarray, visits: np.ndarray, met: np.ndarray, round_: int) -> int:
-    """Teach a mixer words in their order; each word's own count is taken out of what it meets. Visits are added up; gives the next round."""
-    for low in range(0, len(words), MIX_BATCH):
-        data, word, contexts = spell(words[low : low + MIX_BATCH])
-        gate = gates[low : low + MIX_BATCH][word]
+def learn_spelling(mixer: Mixer, curve: np.ndarray, minus: list[np.ndarray], words: list[bytes], gates: np.ndarray, met: np.ndarray, known: int) -> int:
+    """Teach a mixer words in their order; each word's own count is taken out of what it meets. Zeros and ones by bin of the map are added up; gives the number of words known."""
+    weights, low = mixer.weights.reshape(GATES * LEVELS, -1), 0
+    while low < len(words):
+        part = slice(low, low + min(MIX_BATCH, max(MIX_LEAST, known // 8)))
+        data, word, contexts = spell(words[part])
+        gate = gates[part][word]
         contexts[1] = gated(contexts[1], gate)
-        x = np.ones((len(data), len(SIZES) + 1))
         for k in range(8):
-            node = (1 << k) | (data >> (8 - k)).astype(np.int64)
-            bit = ((data >> (7 - k)) & 1).astype(np.int64)
-            for t, context in enumerate(contexts):
-                x[:, t], level_t = unpacked(minus[t].reshape(-1).take(2 * slots(context, node, t) + bit))
-                if t == 0:
-                    level = level_t.astype(np.int64)
-            seen, n = mixer.learn(x, gate, level, bit, k, RATE / (1 + round_ / 40))
-            visits += seen
-            met[k] += n
-        round_ += 1
-    return round_
+            node, bit = node_and_bit(data, k)
+            if k % 4 == 0:
+                first = bases(contexts, data, k // 4, range(len(SIZES)))
+            x = [unpacked(table.take((base ^ node) * 2 + bit)) for table, base in zip(minus, first, strict=True)]
+            order, z = learn(weights, curve, [own for own, _ in x], (gate * LEVELS + x[0][1]).astype(np.uint8), bit)
+            met[k] += np.bincount(2 * bin_of(z) + bit.take(order), minlength=2 * APM_BINS).reshape(APM_BINS, 2)
+        known += len(words[part])
+        low = part.stop
+    return known
+
+
+def with_map(mixer: Mixer, met: np.ndarray) -> Mixer:
+    mixer.apm = (8 * mixer.apm + met[..., 1]) / (8 + met.sum(-1))
+    return mixer
 
 
 def fit_mixer(tables: list[np.ndarray], words: list[bytes], gates: np.ndarray) -> Mixer:
     """Mixer learnt online on words at hand."""
-    mixer = Mixer.new()
-    learn_spelling(mixer, [without_own(t) for t in tables], words, gates, np.zeros((GATES, LEVELS)), np.zeros((8, APM_BINS)), 0)
-    return mixer
+    mixer, met = Mixer.new(), np.zeros((8, APM_BINS, 2))
+    learn_spelling(mixer, no_curve(mixer.weights.reshape(GATES * LEVELS, -1)), [without_own(t).reshape(-1) for t in tables], words, gates, met, 0)
+    return with_map(mixer, met)
 
 
 def fit_spelling(words: DataFrame, tables: list[np.ndarray]) -> Mixer:
-    """Mixer learnt online on all distinct training words (word, t0 …), each under the gate where it is most frequent: by each task on its own, merged by visits."""
+    """Mixer learnt online on all distinct training words (word, t0 …), each under the gate where it is most frequent: by each task on its own, merged by what each knows."""
     names = [f"t{g}" for g in range(GATES)]
-    held = words.sparkSession.sparkContext.broadcast([without_own(t) for t in tables])
+    held = words.sparkSession.sparkContext.broadcast([without_own(t).reshape(-1) for t in tables])
 
     def run(batches):
-        mixer, visits, met, round_ = Mixer.new(), np.zeros((GATES, LEVELS)), np.zeros((8, APM_BINS)), 0
+        mixer, met, known = Mixer.new(), np.zeros((8, APM_BINS, 2)), 0
+        curve = no_curve(mixer.weights.reshape(GATES * LEVELS, -1))
         for batch in batches:
             best = np.stack([batch.column(c).to_numpy() for c in names], 1).argmax(1)
-            round_ = learn_spelling(mixer, held.value, batch.column("word").to_pylist(), best, visits, met, round_)
-        if round_:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (mixer.weights, visits, mixer.apm, met)], ["w", "v", "a", "m"])
+            known = learn_spelling(mixer, curve, held.value, batch.column("word").to_pylist(), best, met, known)
+        if known:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (mixer.weights, curve, met)], ["w", "v", "m"])
 
     # in the order of a hash, so that the weights do not depend on which task ended first
-    got = words.select("word", *names).sortWithinPartitions(F.xxhash64("word")).mapInArrow(run, "w binary, v binary, a binary, m binary").collect()  # one row of each task
+    got = words.select("word", *names).sortWithinPartitions(F.xxhash64("word")).mapInArrow(run, "w binary, v binary, m binary").collect()  # one row of each task
     held.unpersist()
     mixer = Mixer.new()
     if got:
         got.sort(key=lambda r: bytes(r["w"]))
-        read = lambda name, shape: np.array([np.frombuffer(r[name], np.float64).reshape(shape) for r in got])
-        visits, met = read("v", (GATES, LEVELS))[..., None] + 1e-3, read("m", (8, APM_BINS)) + 1e-3
-        mixer.weights = (read("w", mixer.weights.shape) * visits).sum(0) / visits.sum(0)
-        mixer.apm = (read("a", mixer.apm.shape) * met).sum(0) / met.sum(0)
+        cells, width = GATES * LEVELS, len(SIZES) + 1
+        read = lambda name, *shape: np.array([np.frombuffer(r[name], np.float64).reshape(shape) for r in got])
+        mixer.weights = merged(read("w", cells, width), read("v", cells, width, width)).reshape(mixer.weights.shape)
+        mixer = with_map(mixer, read("m", 8, APM_BINS, 2).sum(0))
     return mixer
 
 
@@ -292,29 +293,28 @@ def count_tokens(docs: DataFrame, gates: np.ndarray) -> DataFrame:
     names = [f"t{g}" for g in range(GATES)]
 
     def run(batches):
-        totals, seen = [Counter() for _ in range(GATES)], set()
+        held, own, ends = [], [], np.zeros(GATES, np.int64)
 
         def flush():
-            number = {w: i for i, w in enumerate(dict.fromkeys(chain(*totals, seen)))}
-            rows = np.zeros((GATES, len(number)), np.int64)
-            for own, total in zip(rows, totals, strict=True):
-                own[np.fromiter(map(number.get, total), np.int64, len(total))] = np.fromiter(total.values(), np.int64, len(total))
-                total.clear()
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(number), pa.binary()), *map(pa.array, rows)], ["word", *names])
+            met = pc.dictionary_encode(pa.concat_arrays(held))
+            n = len(met.dictionary)
+            # those of documents that teach nothing stand behind the last gate
+            rows = np.bincount(np.concatenate(own) * n + met.indices.to_numpy(), minlength=(GATES + 1) * n).reshape(GATES + 1, n)[:GATES]
+            rows = np.concatenate((rows, ends[:, None]), 1)
+            words = pa.concat_arrays([met.dictionary, pa.array([END], met.dictionary.type)]).cast(pa.binary())
+            held.clear(), own.clear(), ends.fill(0)
+            return pa.RecordBatch.from_arrays([words, *map(pa.array, rows)], ["word", *names])
 
         for batch in steps(batches):
-            texts, train = words_of(batch), batch.column("train").to_pylist()
-            taught = [words for words, t in zip(texts, train, strict=True) if t]
-            for words, g in zip(taught, (gate_features(taught) @ gates.T).argmax(1).tolist(), strict=True):
-                totals[g].update(words)
-                totals[g][END] += 1
-            for words, t in zip(texts, train, strict=True):
-                if not t:
-                    seen.update(words)
-            if sum(map(len, totals)) + len(seen) > HELD:
+            words, sizes = cut_words(batch.column("text"))
+            gate = np.where(batch.column("train").to_numpy(zero_copy_only=False), (gate_features(words, sizes) @ gates.T).argmax(1), GATES)
+            ends += np.bincount(gate, minlength=GATES + 1)[:GATES]
+            held.append(words)
+            own.append(np.repeat(gate, sizes))
+            if sum(map(len, held)) > HELD:
                 yield flush()
-        yield flush()
+        if held:
+            yield flush()
 
     parts = docs.select("text", "train").mapInArrow(run, "word binary, " + ", ".join(f"{n} long" for n in names))
     return parts.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
@@ -363,19 +363,20 @@ def numbered_tokens(rows: DataFrame, model: RunningModel) -> DataFrame:
 
     Texts are cut into words here for all later steps.
     """
-    held = rows.sparkSession.sparkContext.broadcast((model.number, model.escape))
+    held = rows.sparkSession.sparkContext.broadcast((pa.array(list(model.number), pa.binary()), model.escape))
 
     def run(batches):
-        number, escape = held.value
-        for batch in steps(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            flat, symbols, sizes = numbered(texts, number, escape)
+        listed, escape = held.value
+        for batch in steps(batches, NUMBER_STEP):
+            words, symbols, sizes = numbered(batch.column("text"), listed, escape)
             at = np.flatnonzero(symbols == escape)
-            hashes = np.fromiter((xxhash.xxh64_intdigest(flat[i], 42) for i in at.tolist()), np.uint64, len(at))
+            # each text has one token more than words
+            beyond = words.take(pa.array(at - np.searchsorted(np.cumsum(sizes), at, "right"))).to_pylist()
+            hashes = np.fromiter(map(xxhash.xxh64_intdigest, beyond, repeat(42)), np.uint64, len(at))
             ends = np.cumsum(sizes)
             cut = lambda x, bounds: pa.array([x[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
             bounds = np.concatenate(([0], ends))
-            columns = [pa.array([len(t) for t in texts], pa.int64()), pa.array(sizes), cut(symbols.astype(np.int32), bounds), cut(hashes, np.searchsorted(at, bounds))]
+            columns = [pa.array(np.diff(text_bytes(batch.column("text"))[1])), pa.array(sizes), cut(symbols.astype(np.int32), bounds), cut(hashes, np.searchsorted(at, bounds))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("train"), *columns], ["doc_id", "train", "n_bytes", "n_tokens", "symbols", "hashes"])
 
     kind = dict(rows.dtypes)["doc_id"]
@@ -443,7 +444,7 @@ def running_tables(rows: DataFrame, model: RunningModel) -> list[np.ndarray]:
 
 
 def fit_running(rows: DataFrame, model: RunningModel, twice: np.ndarray) -> RunningModel:
-    """The model with weights and map learnt online on all rows of ``numbered_tokens``, by each task on its own, and merged by visits.
+    """The model with weights and map learnt online on all rows of ``numbered_tokens``, by each task on its own, and merged by what each knows.
 
     Words of the list that all training documents have ``twice`` are escapes there:
     without the text at hand they would not be in the list.
@@ -460,8 +461,7 @@ def fit_running(rows: DataFrame, model: RunningModel, twice: np.ndarray) -> Runn
     got = rows.select("n_tokens", "symbols").mapInArrow(run, "w binary, v binary, h binary, m binary").collect()  # one row of each task
     got.sort(key=lambda r: bytes(r["w"]))
     read = lambda name, shape: np.array([np.frombuffer(r[name], np.float64).reshape(shape) for r in got]).reshape(-1, *shape)
-    visits = read("v", (len(model.weights),))[:, :, None] + 1e-3
-    weights = ((read("w", model.weights.shape) * visits).sum(0) / visits.sum(0)).astype(np.float32) if got else model.weights
+    weights = merged(read("w", model.weights.shape), read("v", (*model.weights.shape, model.weights.shape[1]))).astype(np.float32) if got else model.weights
     hits, met = read("h", model.apm.shape).sum(0), read("m", model.apm.shape).sum(0)
     held.unpersist()
     return model.with_opinions(weights, (8 * model.apm + hits) / (8 + met))
@@ -515,7 +515,7 @@ def scores(docs: DataFrame, folds: int = 7) -> DataFrame:
     tokens = numbered_tokens(rows, model)
     model.tables = running_tables(tokens.where("train"), model)
     model = fit_running(tokens.where("train"), model, np.append(listed.sum(1)[:-1] == 2, [False, False]))
-    top = context.broadcast((model, np.log10(listed.sum(1) + 1), bool(end.any())))
+    top = context.broadcast((replace(model, number={}), np.log10(listed.sum(1) + 1), bool(end.any())))
     # what new text has of new tokens, by gate: the share of tokens that all gates together have seen once
     ones = np.array([sums[f"once{g}"] for g in range(GATES)], np.float64)
     lam = 1 - np.minimum(1, (ones + 1) / (by_gate + 2))

@@ -13,18 +13,21 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
-from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-from .mixing import APM_BINS, GRID, LEVELS, between, opinion, refined_logs, squash, step_of, stretch
-from .words import mix
+from .mixing import APM_BINS, GRID, LEVELS, bin_of, learn, no_curve, opinion, refined_logs, squash, step_of, stretch
+from .words import cut_words, mix
 
 #: The last token of every document; no word holds a blank.
 END = b" "
-ORDERS, DEPTHS, INPUTS = 2, 16, 5
-#: Tokens of one step, and of one step of learning: few at first, then as many again as one in so many that were seen.
-BLOCK, LEARN, MOST_LEARN, LEARN_PART = 1 << 13, 128, 1024, 128
+ORDERS, INPUTS = 2, 5
+DEPTH_BITS = 4
+DEPTHS = 1 << DEPTH_BITS
+#: Tokens of one step, of what a step of learning reads at once, and of that step: few at first, then one in so many that were seen.
+BLOCK, READ, LEARN, MOST_LEARN, LEARN_PART = 1 << 13, 1 << 11, 128, 1 << 15, 8
 #: Steps of an opinion of a slot on either side of 0, up to 9; the level stands above them.
 SCALE, LEVEL_BIT = 4095, 13
 _NODE, _SPREAD = np.uint32(0x6659FD93), np.uint32(0x9E3779B1)
@@ -60,6 +63,7 @@ class Code:
             at = parent[at]
             own, at = own[at != 2 * n - 2], at[at != 2 * n - 2]
         own, up, node, bit = (np.concatenate(c) for c in zip(*ways, strict=True))
+        node = grouped(parent[n:] - n, side[n:]).take(node)
         order = np.lexsort((up, own))
         length = np.bincount(own, minlength=n)
         first = np.cumsum(length) - length
@@ -87,15 +91,32 @@ class Code:
         return out
 
 
-def numbered(texts: list[bytes], number: dict[bytes, int], escape: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Tokens of all texts, their symbols, and the number of tokens of each text."""
-    flat, sizes = [], []
-    for text in texts:
-        words = text.lower().split()
-        flat += words
-        flat.append(END)
-        sizes.append(len(words) + 1)
-    return flat, np.fromiter(map(number.get, flat, repeat(escape)), np.int64, len(flat)), np.array(sizes, np.int64)
+def grouped(parent: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """Numbers of the nodes of a tree, whose root comes last and every parent after its children: those of four levels below one of their nodes stand together, so that one way meets few groups of sixteen."""
+    n = len(parent)
+    parent, side = parent.tolist(), side.tolist()
+    top, local, depth = [0] * n, [1] * n, [0] * n
+    top[-1] = n - 1
+    for i in range(n - 2, -1, -1):
+        up = parent[i]
+        depth[i] = depth[up] + 1
+        if depth[i] % 4:
+            top[i], local[i] = top[up], 2 * local[up] + side[i]
+        else:
+            top[i] = i
+    out = np.empty(n, np.int64)
+    out[np.lexsort((local, -np.array(top)))] = np.arange(n)
+    return out
+
+
+def numbered(texts, listed, escape: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words of all texts, the symbols of their tokens, and the number of tokens of each text; ``listed`` has the words of the list in order, its end last."""
+    texts, listed = (x if isinstance(x, pa.Array) else pa.array(list(x), pa.binary()) for x in (texts, listed))
+    words, sizes = cut_words(texts)
+    found = pc.index_in(words, listed.cast(words.type)).fill_null(escape).to_numpy()
+    out = np.full(len(found) + len(sizes), len(listed) - 1, np.int64)
+    out[np.arange(len(found)) + np.repeat(np.arange(len(sizes)), sizes)] = found
+    return words, out, sizes + 1
 
 
 def before(symbols: np.ndarray, sizes: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray]:
@@ -134,26 +155,30 @@ def contexts(symbols: np.ndarray, sizes: np.ndarray, start: int) -> list[np.ndar
 
 def gates_before(symbols: np.ndarray, sizes: np.ndarray, shares: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """For each token the most likely gate given the tokens of its text before it."""
-    begins = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, carry = np.empty(len(symbols), np.int64), np.zeros(len(prior))
-    for low in range(0, len(symbols), BLOCK):
-        part = shares.take(symbols[low : low + BLOCK], 0)
-        run = np.zeros((len(part) + 1, len(prior)))
-        np.cumsum(part, 0, out=run[1:])
-        begin = begins[low : low + BLOCK] - low
-        base = np.where(begin[:, None] >= 0, -run[np.maximum(begin, 0)], carry)
-        out[low : low + BLOCK] = (run[:-1] + base + prior).argmax(1)
-        carry = run[-1] + base[-1]
-    return out
+    first = np.cumsum(sizes) - sizes
+    out, best, run = np.zeros(len(symbols), np.uint8), None, np.zeros(len(symbols) + 1)
+    for g, column in enumerate(np.ascontiguousarray(shares.T)):
+        np.cumsum(column.take(symbols), out=run[1:])
+        now = np.repeat(prior[g] - run.take(first), sizes)
+        now += run[:-1]
+        if best is None:
+            best = now
+        else:
+            np.copyto(out, np.uint8(g), where=now > best)
+            np.maximum(best, now, out=best)
+    return out.astype(np.int64)
 
 
 def slots(context: np.ndarray, node: np.ndarray, size: int) -> np.ndarray:
-    """Slot of a node in a context, from the high bits of a product."""
+    """Slot of a node in a context, from the high bits of a product; sixteen nodes in a row lie together, in an order that the product gives."""
     out = node.astype(np.uint32)
+    low = out & np.uint32(15)
+    out >>= np.uint32(4)
     out *= _NODE
     out += context
     out *= _SPREAD
     out >>= np.uint32(32 - size)
+    out ^= low
     return out
 
 
@@ -179,7 +204,7 @@ def count(code: Code, symbols: np.ndarray, sizes: np.ndarray, size: int, into: l
             part = slice(low, low + BLOCK)
             n, way = code.ways(symbol[part])
             step = code.packed.take(way)
-            place = slots(np.repeat(met[part], n), step // np.int32(2 * DEPTHS), size).astype(np.int64)
+            place = slots(np.repeat(met[part], n), step >> np.int32(DEPTH_BITS + 1), size).astype(np.int64)
             place <<= 1
             place += step & np.int32(1)
             np.add.at(flat, place, np.repeat(times[part], n))
@@ -262,6 +287,10 @@ class RunningModel:
         tables = [Slots.of(t) for t in self.tables]
         return RunningModel(self.number, self.code, self.shares, self.prior, self.by_gate, self.in_all, self.size, tables, weights, apm)
 
+    def exact(self) -> np.ndarray:
+        """Both exact predictions of each node in one number, gate by gate."""
+        return np.stack((self.by_gate, np.broadcast_to(self.in_all, self.by_gate.shape)), -1).view(np.complex64).reshape(-1)
+
     def log_shares(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Natural logarithm of the probability of each token given those before it in its text, and its gate.
 
@@ -272,73 +301,72 @@ class RunningModel:
         first, run = alike(one, two, symbols, gates)  # in the order of the last token, so that slots read one after another are often the same
         symbol, gate, seen = symbols[first], gates[first], hashed(one[first], two[first])
         out = np.empty(len(first))
-        logs = np.ascontiguousarray(refined_logs(self.apm, 1e-6).transpose(0, 2, 1)).reshape(-1)
+        logs = np.ascontiguousarray(refined_logs(self.apm, 1e-6).transpose(0, 2, 1), np.float32).reshape(-1)
         # opinions are read as whole steps from the least one, so their weights and the constant are changed to suit
         constant = self.weights[:, 4] - 9 * (self.weights[:, 2] + self.weights[:, 3])
         scale = np.array([1, 1, 9 / SCALE, 9 / SCALE], np.float32)
-        # what is read together stands in one number: four weights, and both exact predictions of a node
+        # what is read together stands in one number: here four weights
         weights = np.ascontiguousarray(self.weights[:, :4] * scale).view(np.complex128).reshape(-1)
-        nodes = self.by_gate.shape[1]
-        exact = np.stack((self.by_gate, np.broadcast_to(self.in_all, self.by_gate.shape)), -1).view(np.complex64).reshape(-1)
+        nodes, exact = self.by_gate.shape[1], self.exact()
         for low in range(0, len(first), BLOCK):
             part = slice(low, low + BLOCK)
             n, way = self.code.ways(symbol[part])
             step = self.code.packed.take(way)
-            node, chosen = step // np.int32(2 * DEPTHS), np.repeat(gate[part], n)
+            node, chosen = step >> np.int32(DEPTH_BITS + 1), np.repeat(gate[part].astype(np.uint8), n)
             x = np.empty((len(way), INPUTS - 1), np.float32)
-            x.view(np.complex64)[:, 0] = exact.take(chosen * nodes + node)
+            x.view(np.complex64)[:, 0] = exact.take(np.repeat(gate[part] * nodes, n) + node)
             for k, (table, context) in enumerate(zip(self.tables, seen, strict=True)):
                 x[:, 2 + k], level = table.at(slots(np.repeat(context[part], n), node, self.size))
-                chosen *= LEVELS
-                chosen += level
+                chosen *= np.uint8(LEVELS)
+                chosen += level.astype(np.uint8)
+            chosen = chosen.astype(np.int64)
             x *= weights.take(chosen).view(np.float32).reshape(-1, INPUTS - 1)
             z = constant.take(chosen)
             for k in range(INPUTS - 1):
                 z += x[:, k]
-            line = (step & np.int32(2 * DEPTHS - 1)) * np.int64(GRID)
-            line += step_of(z)
+            line = step_of(z)
+            line += (step & np.int32(2 * DEPTHS - 1)) * np.int32(GRID)
             out[part] = np.add.reduceat(logs.take(line), np.cumsum(n) - n)
         return out[run], gates
 
+    def inputs(self, exact: np.ndarray, minus: list[np.ndarray], symbols: np.ndarray, gates: np.ndarray, hashes: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+        """Both exact predictions and the opinions of both tables on every decision, then its cell, and its depth and bit in one number."""
+        n, way = self.code.ways(symbols)
+        step = self.code.packed.take(way)
+        node, bit, cell = step >> np.int32(DEPTH_BITS + 1), step & np.int32(1), np.repeat(gates.astype(np.uint8), n)
+        both = exact.take(np.repeat(gates * self.by_gate.shape[1], n) + node)
+        out = [both.real, both.imag]
+        for table, context in zip(minus, hashes, strict=True):
+            place = slots(np.repeat(context, n), node, self.size).astype(np.int64)
+            place <<= 1
+            place += bit
+            own, level = unpacked(table.take(place))
+            out.append(own)
+            cell *= np.uint8(LEVELS)
+            cell += level.astype(np.uint8)
+        return *out, cell, (step & np.int32(2 * DEPTHS - 1)).astype(np.uint8)
+
     def learn(self, parts, minus: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Weights learnt online on texts that the tables have counted, visits of each, and hits and visits of the map.
+        """Weights learnt online on texts that the tables have counted, what they are known by, and hits and visits of the map.
 
         Each token's own counts are taken out of what it meets, since a text to be scored is not in the tables;
         ``minus`` holds the tables in the form of ``without_own``, if they were made before.
         """
-        minus = minus or [without_own(t) for t in self.tables]
-        weights, power = self.weights.astype(np.float64), np.ones(self.weights.shape)
-        cells, bins = len(weights), self.apm.size
-        visits, hits, met, known = np.zeros(cells), np.zeros(bins), np.zeros(bins), 0
+        minus = [t.reshape(-1) for t in minus or [without_own(t) for t in self.tables]]
+        weights, exact, bins = self.weights.astype(np.float64), self.exact(), self.apm.size
+        curve, met, known = no_curve(weights), np.zeros(2 * bins), 0
         for symbols, sizes in parts:
-            gates = gates_before(symbols, sizes, self.shares, self.prior).astype(np.int32)
+            gates = gates_before(symbols, sizes, self.shares, self.prior)
             hashes = contexts(symbols, sizes, len(self.code.length))
             low = 0
             while low < len(symbols):
-                size = min(MOST_LEARN, max(LEARN, known // LEARN_PART))
-                part, low, known = slice(low, low + size), low + size, known + size
-                n, way = self.code.ways(symbols[part])
-                step = self.code.packed.take(way)
-                node, bit, chosen = step // np.int32(2 * DEPTHS), step & np.int32(1), np.repeat(gates[part], n)
-                x = [self.by_gate[chosen, node], self.in_all.take(node)]
-                for table, context in zip(minus, hashes, strict=True):
-                    place = slots(np.repeat(context[part], n), node, self.size).astype(np.int64)
-                    place <<= 1
-                    place += bit
-                    own, level = unpacked(table.reshape(-1).take(place))
-                    x.append(own)
-                    chosen = chosen * LEVELS + level
-                z = weights[:, INPUTS - 1].take(chosen)
-                for k, own in enumerate(x):
-                    z += weights[:, k].take(chosen) * own
-                z = np.clip(z, -12, 12)
-                error = bit - squash(z)
-                slope = np.stack([np.bincount(chosen, error * own, cells) for own in x] + [np.bincount(chosen, error, cells)], 1)
-                power += slope * slope
-                weights += 0.06 * slope / np.sqrt(power)
-                visits += np.bincount(chosen, minlength=cells)
-                at, over = between(z)
-                at += ((step & np.int32(2 * DEPTHS - 1)) >> 1) * APM_BINS + (over > 0.5)
-                hits += np.bincount(at, bit, bins)
-                met += np.bincount(at, minlength=bins)
-        return weights, visits, hits.reshape(self.apm.shape), met.reshape(self.apm.shape)
+                high = min(len(symbols), low + min(MOST_LEARN, max(LEARN, known // LEARN_PART)))
+                cuts = [slice(k, min(high, k + READ)) for k in range(low, high, READ)]
+                *x, cell, line = (np.concatenate(c) for c in zip(*(self.inputs(exact, minus, symbols[c], gates[c], [h[c] for h in hashes]) for c in cuts), strict=True))
+                order, z = learn(weights, curve, x, cell, line & np.uint8(1))
+                line = line.take(order)
+                at = bin_of(z) + (line >> np.uint8(1)).astype(np.int32) * np.int32(APM_BINS)
+                met += np.bincount(2 * at + (line & np.uint8(1)), minlength=2 * bins)
+                low, known = high, known + high - low
+        met = met.reshape(*self.apm.shape, 2)
+        return weights, curve, met[..., 1], met.sum(-1)

@@ -1,8 +1,10 @@
-"""Words and word shingles of whole Arrow batches as 64-bit hashes, without a Python string for each word."""
+"""Words and word shingles of whole Arrow batches, as arrays or 64-bit hashes, without a Python string for each word."""
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Lower-cases A-Z only; any other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -47,6 +49,19 @@ def range_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.n
     return mix((prefix[end] - prefix[start]) * powers(_INVERSE, len(prefix))[start] + (end - start).astype(np.uint64))
 
 
+def cut_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of texts without nulls as one array of bytes, A-Z in lower case, and the number of words of each text; bytes that are no UTF-8 stay."""
+    large = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
+    trimmed = pc.ascii_trim_whitespace(pc.ascii_lower(text.view(pa.large_string() if large else pa.string())))
+    lists = pc.ascii_split_whitespace(trimmed)
+    flat, sizes = lists.flatten().view(pa.large_binary() if large else pa.binary()), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    blank = pc.binary_length(trimmed).to_numpy() == 0
+    if blank.any():  # a text without a word is cut into an empty one
+        sizes[blank] = 0
+        flat = flat.filter(pc.greater(pc.binary_length(flat), 0))
+    return flat, sizes
+
+
 def word_ranges(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word: a run of bytes other than white space within one row."""
     word = ~SPACE[data]
