@@ -21,7 +21,6 @@ merged by what each has seen.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass, replace
 from itertools import repeat
 
@@ -320,12 +319,23 @@ def count_tokens(docs: DataFrame, gates: np.ndarray) -> DataFrame:
     return parts.groupBy("word").agg(*[F.sum(n).alias(n) for n in names])
 
 
+def squeezed(part: np.ndarray) -> bytes:
+    """Counts in the least width that holds them, which the first byte names, packed."""
+    part = part.astype(np.min_scalar_type(part.max()))
+    return bytes([part.itemsize]) + pa.Codec("zstd", 1).compress(part.tobytes(), asbytes=True)
+
+
+def spread(packed: bytes, block: int) -> np.ndarray:
+    """The counts of a block of slots."""
+    return np.frombuffer(pa.Codec("zstd").decompress(packed[1:], 2 * block * packed[0], asbytes=True), f"u{packed[0]}").reshape(-1, 2)
+
+
 def sum_tables(counts: DataFrame) -> list[np.ndarray]:
     """Tables of outcomes over all training tokens: each task adds up its own, and the blocks of all tasks are added as they stream by."""
     names = [f"t{g}" for g in range(GATES)]
 
     def row(t: int, low: int, part: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([low], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["t", "low", "n"])
+        return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([low], pa.int32()), pa.array([squeezed(part)], pa.binary())], ["t", "low", "n"])
 
     def run(batches):
         tables = [np.zeros((1 << s, 2), np.int64) for s in SIZES]
@@ -344,17 +354,17 @@ def sum_tables(counts: DataFrame) -> list[np.ndarray]:
             for t, low, n in zip(*(batch.column(c) for c in ("t", "low", "n")), strict=True):
                 if (t.as_py(), low.as_py()) != key:
                     if key:
-                        yield row(*key, total.astype(np.float32))
+                        yield row(*key, total)
                     key, total = (t.as_py(), low.as_py()), np.zeros((BLOCK, 2), np.int64)
-                total += np.frombuffer(zlib.decompress(n.as_py()), np.int64).reshape(-1, 2)
+                total += spread(n.as_py(), BLOCK)
         if key:
-            yield row(*key, total.astype(np.float32))
+            yield row(*key, total)
 
     used = counts.where(" + ".join(names) + " > 0").where(F.col("word") != F.lit(b" "))
     parts = used.mapInArrow(run, "t int, low int, n binary").repartition(F.col("t"), F.col("low")).sortWithinPartitions("t", "low")
     out = [np.zeros((1 << s, 2), np.float32) for s in SIZES]
     for r in parts.mapInArrow(add, "t int, low int, n binary").toLocalIterator():  # fixed: one row for each block of a table
-        out[r.t][r.low : r.low + BLOCK] = np.frombuffer(zlib.decompress(r.n), np.float32).reshape(-1, 2)
+        out[r.t][r.low : r.low + BLOCK] = spread(r.n, BLOCK)
     return out
 
 
@@ -403,14 +413,7 @@ def running_tables(rows: DataFrame, model: RunningModel) -> list[np.ndarray]:
     held = rows.sparkSession.sparkContext.broadcast(model.code)
 
     def row(t: int, low: int, part: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([low], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["t", "low", "n"])
-
-    def narrow(part: np.ndarray) -> np.ndarray:
-        return part.astype(np.min_scalar_type(part.max()))
-
-    def counts_of(n: bytes) -> np.ndarray:
-        raw = zlib.decompress(n)
-        return np.frombuffer(raw, f"u{len(raw) // (2 * block)}").reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array([t], pa.int32()), pa.array([low], pa.int32()), pa.array([squeezed(part)], pa.binary())], ["t", "low", "n"])
 
     def run(batches):
         code = held.value
@@ -420,7 +423,7 @@ def running_tables(rows: DataFrame, model: RunningModel) -> list[np.ndarray]:
         for t, table in enumerate(tables):
             for low in range(0, len(table), block):
                 if table[low : low + block].any():
-                    yield row(t, low, narrow(table[low : low + block]))
+                    yield row(t, low, table[low : low + block])
 
     def add(batches):
         key, total = None, np.zeros((block, 2), np.int64)
@@ -431,14 +434,14 @@ def running_tables(rows: DataFrame, model: RunningModel) -> list[np.ndarray]:
                     if key:
                         yield row(*key, small(total))
                     key, total = (t, low), np.zeros((block, 2), np.int64)
-                total += counts_of(n)
+                total += spread(n, block)
         if key:
             yield row(*key, small(total))
 
     parts = rows.select("n_tokens", "symbols").mapInArrow(run, "t int, low int, n binary").repartition(F.col("t"), F.col("low")).sortWithinPartitions("t", "low")
     out = [np.zeros(shape, np.uint16) for _ in range(ORDERS)]
     for r in materialize(parts.mapInArrow(add, "t int, low int, n binary")).toLocalIterator():  # fixed: one row for each block of a table
-        out[r.t][r.low : r.low + block] = np.frombuffer(zlib.decompress(r.n), np.uint16).reshape(-1, 2)
+        out[r.t][r.low : r.low + block] = spread(r.n, block)
     held.unpersist()
     return out
 

@@ -333,12 +333,12 @@ class RunningModel:
         """Both exact predictions and the opinions of both tables on every decision, then its cell, and its depth and bit in one number."""
         n, way = self.code.ways(symbols)
         step = self.code.packed.take(way)
-        node, bit, cell = step >> np.int32(DEPTH_BITS + 1), step & np.int32(1), np.repeat(gates.astype(np.uint8), n)
+        node, bit, cell = step >> np.int32(DEPTH_BITS + 1), (step & np.int32(1)).astype(np.uint32), np.repeat(gates.astype(np.uint8), n)
         both = exact.take(np.repeat(gates * self.by_gate.shape[1], n) + node)
-        out = [both.real, both.imag]
+        out = [both.real.copy(), both.imag.copy()]
         for table, context in zip(minus, hashes, strict=True):
-            place = slots(np.repeat(context, n), node, self.size).astype(np.int64)
-            place <<= 1
+            place = slots(np.repeat(context, n), node, self.size)
+            place <<= np.uint32(1)
             place += bit
             own, level = unpacked(table.take(place))
             out.append(own)

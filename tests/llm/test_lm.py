@@ -5,8 +5,9 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
-from millrace.llm import lm, mixing, running
+from millrace.llm import lm, mixing, running, words
 from millrace.llm.queries import op6_lm_scoring
 
 SF = "/root/testdata/sf0.01"
@@ -184,3 +185,38 @@ def test_opinions_without_own_outcome():
         x, level = mixing.opinion(less[:, 0], less[:, 1])
         own, own_level = running.unpacked(minus[:, bit])
         assert np.abs(own - x).max() <= 9 / running.SCALE and (own_level == level).all()
+
+
+def test_a_way_meets_few_groups_of_slots():
+    code = running.Code.of(1e6 / np.arange(1, 5001))
+    for symbol in range(0, 5000, 7):
+        node = code.node[code.first[symbol] + np.arange(code.length[symbol])]
+        met = running.slots(np.array([12345], np.uint32), node, 22)
+        assert len(set(met.tolist())) == len(node) and len(set((met >> 4).tolist())) <= 2 * -(-len(node) // 4)
+
+
+def test_words_are_cut_like_bytes():
+    texts = [b"", b" \t", b"A b\x0bC\x1cd\r\nE", b"\xc3\x89t\xc3\xa9 \xff\xfeX \xc2\xa0", b" x "]
+    flat, sizes = words.cut_words(pa.array(texts, pa.binary())[1:])
+    assert flat.to_pylist() == [w for t in texts[1:] for w in t.lower().split()] and sizes.tolist() == [len(t.split()) for t in texts[1:]]
+    assert words.cut_words(pa.array(["", "\n"], pa.large_string()))[1].tolist() == [0, 0]
+
+
+def test_learning_in_parts_is_like_learning_in_one(monkeypatch):
+    """Two learners, each on half of the bits, come together to nearly the weights that all bits give."""
+    monkeypatch.setattr(mixing, "HOLD", 8.0)
+    rng = np.random.default_rng(3)
+    x = [rng.normal(size=40_000).astype(np.float32) for _ in range(2)]
+    bit = (rng.random(40_000) < mixing.squash(1.5 * x[0] - 0.5 * x[1] + 0.3)).astype(np.int64)
+
+    def learnt(places):
+        weights = np.zeros((2, 3))
+        curve = mixing.no_curve(weights)
+        for low in range(0, len(places), 1000):
+            at = places[low : low + 1000]
+            mixing.learn(weights, curve, [c[at] for c in x], (at % 2).astype(np.uint8), bit[at])
+        return weights, curve
+
+    weights, curves = zip(learnt(np.arange(20_000)), learnt(np.arange(20_000, 40_000)))
+    whole, _ = learnt(np.arange(40_000))
+    assert np.abs(whole - [1.5, -0.5, 0.3]).max() < 0.1 and np.abs(mixing.merged(np.array(weights), np.array(curves)) - whole).max() < 0.05
