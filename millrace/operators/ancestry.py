@@ -28,6 +28,8 @@ def nearest_roots(starts: DataFrame, roots: DataFrame) -> DataFrame:
     Every start meets its ancestors by equality. A folder at the top is an
     ancestor of all starts, so folders are dealt out by the start's hash, and
     roots are repeated for each share; most starts leave the join with few rows.
+    Both joins are by sorting: paths pack so well in files that the engine takes
+    millions of them for few enough to send whole through the driver.
     A null start has no root; null and repeated roots change nothing.
     """
     start = starts.select("start").distinct()
@@ -35,5 +37,5 @@ def nearest_roots(starts: DataFrame, roots: DataFrame) -> DataFrame:
     up = start.where("start is not null").select("start", share.alias("share"), F.posexplode(ancestors(F.col("start"))).alias("depth", "root"))
     held = roots.where("root is not null").select(plain_path(F.col("root")).alias("root")).distinct()
     held = held.select("root", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("share"))
-    deepest = up.join(held, ["root", "share"]).groupBy("start").agg(F.max_by("root", "depth").alias("root"))
-    return start.join(deepest, "start", "left")
+    deepest = up.join(held.hint("merge"), ["root", "share"]).groupBy("start").agg(F.max_by("root", "depth").alias("root"))
+    return start.join(deepest.hint("merge"), "start", "left")

@@ -163,6 +163,20 @@ def test_nearest_roots_on_random_trees(spark):
     assert nearest_roots(frame(spark, starts[:3], "start"), frame(spark, []).limit(0)).where("root is null").count() == 3
 
 
+def test_located_folders_do_not_pass_whole_through_the_driver(spark, tmp_path):
+    """20,000 paths are a small file, but 112 MB to broadcast once each is held in all shares."""
+    long = "/" + "/".join(["a long name of a folder"] * 4)
+    spark.range(20_000).select(F.concat(F.lit(f"{long}/"), F.col("id").cast("string")).alias("root")).coalesce(1).write.parquet(f"{tmp_path}/roots")
+    roots = spark.read.schema("root string").parquet(f"{tmp_path}/roots")
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "4m")
+    try:
+        got = nearest_roots(roots.select(F.concat("root", F.lit("/kit")).alias("start")), roots.where("root not like '%7'"))
+        assert got.where("root is null").count() == 2000 and got.where("start = root || '/kit'").count() == 18_000
+        assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+
+
 def test_locate_equals_the_walk_up(spark, tmp_path):
     rng, folders = random.Random(2), [tmp_path]
     for k in range(150):
